@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import bpe, quality
+from kestrel.llm import bpe, decontaminate, neardup, pii, quality
+from kestrel.llm.queries import PII_KEY
 from kestrel.session import scratch
 
 
@@ -12,11 +13,23 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs)
 
 
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize_rows(docs, PII_KEY)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenize(docs)
 
 
-STAGES = [("quality", rules), ("bpe", tokens)]
+STAGES = [("quality", rules), ("near duplicates", copies), ("decontamination", leaks), ("pii", surrogates), ("bpe", tokens)]
 ORACLE_SQL = None
 
 
@@ -24,7 +37,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents; each stage's rows are written in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch(spark, f"stage-{name}")
+        path = scratch(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -16,9 +16,9 @@ from kestrel.llm.textnp import U, Words, mix, slices
 from kestrel.session import cut, maybe_broadcast
 
 #: Words of a shingle, and the Jaccard similarity of shingle sets from which two texts are near duplicates.
-SHINGLE, THRESHOLD = 3, 0.6
-#: Bands of ROWS hashes each propose candidates: a pair at THRESHOLD is met with probability 0.98.
-BANDS, ROWS = 28, 4
+SHINGLE, THRESHOLD = 3, 0.55
+#: Bands of ROWS hashes each propose candidates: a pair at THRESHOLD is met with probability 0.95.
+BANDS, ROWS = 32, 4
 #: Further hashes, compared BATCH at a time; a pair is dropped once P(similarity >= THRESHOLD) is below MISS.
 CHECKS, BATCH, MISS = 96, 32, 0.005
 _rng = np.random.default_rng(20240)
