@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, decontaminate, neardup, pii, quality, sharding, toxicity
+from kestrel.llm import bpe, chat, decontaminate, mixing, neardup, pii, quality, sharding, suffixes, toxicity
 
 #: Key of the surrogates; a production job passes its own secret.
 PII_KEY = "kestrel-surrogates"
@@ -29,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.bits_per_byte(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,8 +54,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_toxicity, op3_decontaminate, op5_near_duplicates, op6_sharding, op7_bpe, op8_pii, op9_quality)}
+    return {f.__name__: f for f in (op1_chat, op2_toxicity, op3_decontaminate, op4_mixing, op5_near_duplicates, op6_sharding, op7_bpe, op8_pii, op9_quality, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
