@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,14 +16,17 @@ from kestrel.llm.textnp import raw, slices
 from kestrel.session import cut
 
 #: Bytes of context of each predictor, and the bits of its table's slots.
-ORDERS, SLOTS = (1, 2, 3, 5), 20
+ORDERS, SLOTS = (2, 3, 5), 20
 #: Texts fall in two folds by a hash of themselves; a text is predicted from the other fold's counts.
 FOLDS = 2
 #: Bytes between updates of the weights, and bytes after which they start anew.
 BLOCK, SEGMENT = 64, 8192
-RATE, REFINE = 0.02, 0.05
+RATE = 0.005
+#: Bytes that are coded side by side.
+LANES = 1 << 19
 #: Slots that travel together when counts are added up.
 CELL = 1 << 15
+_SIZE = (1 << SLOTS) + (1 << 16)
 _MASK = (1 << SLOTS) - 1
 
 
@@ -34,37 +38,69 @@ def _nodes() -> np.ndarray:
             if j < 4:
                 out[c, j] = (1 << j) | (c >> (8 - j))
             else:
-                out[c, j] = ((c >> 4) + 1) * 0x9E3779B1 // 16 * 16 + ((1 << (j - 4)) | ((c >> (8 - j)) & ((1 << (j - 4)) - 1)))
-    return out
+                out[c, j] = (((c >> 4) + 1) * 0x9E3779B1 >> 8 & 0xFFF0) + ((1 << (j - 4)) | ((c >> (8 - j)) & ((1 << (j - 4)) - 1)))
+    return np.ascontiguousarray(out.T)
 
 
 _NODE = _nodes()
-_BIT = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
-
-
-def contexts(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
-    """Hashed context of each byte: the `order` bytes before it in its text, or as many as there are."""
-    h = np.full(len(data), order, np.uint64)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+_BIT = ((np.arange(256) >> np.arange(7, -1, -1)[:, None]) & 1).astype(np.float32)
+_SQUASH = (1 / (1 + np.exp(8 - (np.arange(4096) + 0.5) / 256))).astype(np.float32)
+
+
+def ranges(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the bytes of texts, of about `most`; a text is cut at a multiple of SEGMENT of its own bytes."""
+    lengths = np.diff(offsets)
+    pieces = -(-lengths // SEGMENT)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    begin = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+    if not len(begin):
+        return
+    edge = np.append(begin, offsets[-1])
+    at = 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + most, "right")) - 1)
+        yield int(edge[at]), int(edge[to])
+        at = to
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray, order: int, lo: int, hi: int) -> np.ndarray:
+    """Hashed context of the bytes lo to hi: the `order` bytes before each in its text, or as many as there are."""
+    index = np.arange(lo, hi)
+    h = np.full(hi - lo, order, np.uint32)
+    near = np.searchsorted(offsets, [lo, hi], "right")
+    begins = offsets[max(0, near[0] - 1) : near[1]]
     for k in range(1, order + 1):
-        before = np.zeros(len(data), np.uint64)
-        before[k:] = data[:-k]
-        before += np.uint64(1)
-        before[place < k] = 0
-        h = (h ^ before) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return ((h & np.uint64(_MASK >> 4)) << np.uint64(4)).astype(np.int64)
+        before = data[np.maximum(index - k, 0)].astype(np.uint32)
+        before += np.uint32(1)
+        for d in range(k):  # bytes at distance d of a text's start have no byte k before
+            first = begins + d - lo
+            first = first[(first >= 0) & (first < hi - lo)]
+            before[first] = 0
+        h ^= before
+        h *= np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return h
 
 
 def count(data: np.ndarray, offsets: np.ndarray, into: np.ndarray) -> None:
-    """Add the bits of texts to into (order x (2 * slot + bit))."""
-    bit = _BIT[data].astype(np.int64)
-    node = _NODE[data]
-    for i, order in enumerate(ORDERS):
-        slot = (contexts(data, offsets, order)[:, None] + node) & _MASK
-        slot *= 2
-        slot += bit
-        into[i] += np.bincount(slot.ravel(), minlength=2 << SLOTS).astype(np.uint32)
+    """Add the bits of texts to into (order x (2 * slot + bit)).
+
+    Equal pairs of context and byte are counted first, by sorting, so only
+    distinct ones are spread over their eight slots.
+    """
+    for lo, hi in ranges(offsets, 1 << 22):
+        for i, order in enumerate(ORDERS):
+            pair = contexts(data, offsets, order, lo, hi) & np.uint32(_MASK >> 4)
+            pair <<= np.uint32(8)
+            pair |= data[lo:hi]
+            pair.sort()
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            n, pair = np.diff(np.append(first, len(pair))), pair[first]
+            byte = pair & np.uint32(255)
+            slot = ((pair >> np.uint32(8)).astype(np.int64) << 4) + _NODE[:, byte]
+            slot *= 2
+            slot += _BIT[:, byte].astype(np.int64)
+            into[i] += np.bincount(slot.ravel(), np.tile(n, 8), 2 * _SIZE).astype(np.uint32)
 
 
 def fold_of(column: pa.Array) -> np.ndarray:
@@ -93,78 +129,85 @@ class Model:
         bucket is refined by how its bits turned out so far in the segment.
         """
         data, offsets = raw(column)
-        lengths = np.diff(offsets)
-        total = np.zeros(len(lengths))
-        if not len(data):
-            return total
-        ctx = [contexts(data, offsets, o) for o in ORDERS]
-        pieces = -(-lengths // SEGMENT)
-        owner = np.repeat(np.arange(len(lengths)), pieces)
-        begin = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
-        size = np.minimum(offsets[owner + 1] - begin, SEGMENT)
+        total = np.zeros(len(offsets) - 1)
+        for lo, hi in ranges(offsets, LANES):
+            self._code(data, offsets, lo, hi, fold, total)
+        return total / np.log(2)
+
+    def _code(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, fold: int, total: np.ndarray) -> None:
+        """Add the natural-log cost of the bytes lo to hi to their texts' total; each segment is a lane."""
+        own = np.arange(np.searchsorted(offsets, lo, "right") - 1, np.searchsorted(offsets, hi, "left"))
+        start, end = np.maximum(offsets[own], lo), np.minimum(offsets[own + 1], hi)
+        pieces = -(-(end - start) // SEGMENT)
+        owner = np.repeat(own, pieces)
+        begin = np.repeat(start, pieces) + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        size = np.minimum(np.repeat(end, pieces) - begin, SEGMENT)
         order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
+        owner, begin, size = owner[order], begin[order] - lo, size[order]
+        body = data[lo:hi]
+        ctx = [(contexts(data, offsets, o, lo, hi) & np.uint32(_MASK >> 4)).astype(np.int64) << 4 for o in ORDERS]
         lanes = len(owner)
-        w = np.full((len(ORDERS), lanes, 8), 0.35, np.float32)
-        bias = np.zeros((lanes, 8), np.float32)
-        seen = np.tile((2 / (1 + np.exp(-np.arange(-7.5, 8)))).astype(np.float32), (lanes, 1))  # ones among 2 bits
+        w = np.full((len(ORDERS), 8, lanes), 0.45 / 16, np.float32)
+        bias = np.zeros((8, lanes), np.float32)
+        ones = np.tile((2 / (1 + np.exp(-np.arange(-7.5, 8)))).astype(np.float32), (lanes, 1))  # of two bits
         met = np.full((lanes, 16), 2, np.float32)
         cost = np.zeros(lanes)
         steps = np.arange(BLOCK)
         for step in range(0, int(size[0]), BLOCK):
             n = int(np.searchsorted(-size, -step, "left"))  # lanes that have bytes left
-            at = begin[:n, None] + step + steps
-            there = steps < (size[:n, None] - step)
-            at = np.minimum(at, len(data) - 1)
-            c = data[at]
-            bit, node = _BIT[c], _NODE[c]
+            at = begin[:n, None] + (step + steps)
+            there = None
+            if size[n - 1] < step + BLOCK:
+                there = steps < (size[:n, None] - step)
+                at = np.minimum(at, len(body) - 1)
+            c = body[at]
+            node, bit = np.take(_NODE, c, 1), np.take(_BIT, c, 1)  # (8, lanes, BLOCK)
+            z = np.repeat(bias[:, :n, None], BLOCK, 2)
             x = []
-            z = np.repeat(bias[:n, None, :], BLOCK, 1)
             for i in range(len(ORDERS)):
-                slot = ctx[i][at][:, :, None] + node
-                slot &= _MASK
-                s = np.take(self.logit[fold, i], slot).astype(np.float32)
-                s *= np.float32(1 / 16)
-                x.append(s)
-                z += w[i, :n, None, :] * s
+                slot = ctx[i][at] + node
+                x.append(np.take(self.logit[fold, i], slot, mode="clip").astype(np.float32))
+                z += w[i, :, :n, None] * x[i]
             np.clip(z, -7.99, 7.99, out=z)
-            p = 1 / (1 + np.exp(-z))
+            z += np.float32(8)
+            p = np.take(_SQUASH, (z * np.float32(256)).astype(np.int64), mode="clip")
             error = bit - p
-            error *= there[:, :, None]
+            if there is not None:
+                error *= there
             for i in range(len(ORDERS)):
-                w[i, :n] += np.float32(RATE) * np.einsum("lbj,lbj->lj", error, x[i])
-            bias[:n] += np.float32(RATE) * error.sum(1)
-            bucket = (z + np.float32(8)).astype(np.int64)
-            bucket += (np.arange(n) * 16)[:, None, None]
-            fine = seen[:n].ravel() / met[:n].ravel()
-            p *= 0.75
-            p += np.float32(0.25) * np.take(fine, bucket)
-            q = np.abs(1 - bit - p)
-            np.log(q, out=q)
-            q *= there[:, :, None]
-            cost[:n] -= q.sum((1, 2), dtype=np.float64)
-            flat, weight = bucket.ravel(), np.repeat(there.ravel(), 8)
-            hits = np.bincount(flat, weight, 16 * n).reshape(n, 16)
-            ones = np.bincount(flat, (bit * there[:, :, None]).ravel(), 16 * n).reshape(n, 16)
-            met[:n] += hits
-            seen[:n] += ones
-        np.add.at(total, owner, cost / np.log(2))
-        return total
+                w[i, :, :n] += np.float32(RATE / 256) * np.einsum("jlb,jlb->jl", error, x[i])
+            bias[:, :n] += np.float32(RATE) * error.sum(2)
+            bucket = z.astype(np.int64)
+            bucket += (np.arange(n) * 16)[:, None]
+            p *= np.float32(0.75)
+            p += np.take((0.25 * ones[:n] / met[:n]).ravel(), bucket, mode="clip")
+            p += bit  # 1 - |bit + p - 1| is p at a one and 1 - p at a zero
+            p -= np.float32(1)
+            np.abs(p, out=p)
+            if there is not None:
+                p[:, ~there] = 1
+                bucket[:, ~there] = 16 * n
+            cost[:n] -= np.log(np.multiply.reduce(p, 0)).sum(1, dtype=np.float64)
+            bucket *= 2
+            bucket += bit.astype(np.int64)
+            seen = np.bincount(bucket.ravel(), minlength=32 * n)[: 32 * n].reshape(n, 16, 2)
+            met[:n] += seen.sum(2)
+            ones[:n] += seen[:, :, 1]
+        np.add.at(total, owner, cost)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     """(cell, counts): what each task counted, by cells of slots, compressed."""
 
     def run(batches):
-        into = np.zeros((FOLDS, len(ORDERS), 2 << SLOTS), np.uint32)
+        into = np.zeros((FOLDS, len(ORDERS), 2 * _SIZE), np.uint32)
         some = False
         for batch in batches:
             fold = fold_of(batch.column(0))
             for f in range(FOLDS):
                 column = batch.column(0).filter(pa.array(fold == f))
-                for a, b in slices(column, 1 << 19):
+                for a, b in slices(column, 1 << 22):
                     data, offsets = raw(column.slice(a, b - a))
-                    # A long text is counted in pieces; contexts don't cross them but for its first bytes.
                     count(data, offsets, into[f])
                     some = some or len(data) > 0
         if some:
@@ -200,11 +243,11 @@ def _summed(counts: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Bit counts of all texts' contexts; the model has FOLDS * orders * 2^SLOTS bytes, whatever the corpus's size."""
-    logit = np.zeros((FOLDS * len(ORDERS) << SLOTS) // CELL * CELL, np.int8).reshape(-1, CELL)
+    """Bit counts of all texts' contexts; the model has some 2^SLOTS bytes a fold and predictor, whatever the corpus's size."""
+    logit = np.zeros(FOLDS * len(ORDERS) * _SIZE, np.int8).reshape(-1, CELL)
     for row in cut(_summed(_counted(docs)), "logits").toLocalIterator():
         logit[row.cell] = np.frombuffer(row.logits, np.int8)
-    return Model(logit.reshape(FOLDS, len(ORDERS), 1 << SLOTS))
+    return Model(logit.reshape(FOLDS, len(ORDERS), _SIZE))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
