@@ -52,7 +52,7 @@ def features(texts: list[str | None], bag: int = BAG) -> tuple[np.ndarray, np.nd
     word_of = np.cumsum(first) - 1
     breaks = np.zeros(len(points) + 1, np.int32)
     np.cumsum(~word, out=breaks[1:])
-    h, buckets, owners = sign * _B, [], []
+    h, buckets, owners = sign * _B, [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for n in range(2, max(NGRAMS) + 1):
         if len(sign) < n:
             break
