@@ -74,19 +74,20 @@ def prefix_tree(conversations: DataFrame, ranks: str | None = None) -> DataFrame
     which attention is causal. `conv_ids` are the conversations that end here.
     An empty table gives no rows; see turns for nulls and repeated rows.
     """
-    t = cut(turns(conversations), "turns")
+    t = turns(conversations)
     key = F.concat_ws("", "path")
     last = F.max("depth").over(Window.partitionBy("conv_id")) == F.col("depth")
     told = t.select("path", "depth", "role", "text", F.when(last, F.col("conv_id")).alias("ends"))
     nodes = told.groupBy(F.element_at("path", 1).alias("tree"), key.alias("path"), "depth").agg(F.first("role").alias("role"), F.first("text").alias("text"), F.array_sort(F.collect_list("ends")).alias("conv_ids"))
     nodes = cut(_encoded(nodes, ranks), "tokens").withColumn("size", F.size("tokens").cast("long"))
-    placed = cut(_running(nodes), "placed")
+    # Tokens stay in their table until the last join; only sizes are sorted and summed.
+    placed = cut(_running(nodes.select("tree", "path", "depth", "size")), "placed")
     # Each node's ancestors: the prefixes of its path, 32 signs a turn.
     above = placed.select("tree", "path", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("d")).select("tree", "path", F.expr("substring(path, 1, (d + 1) * 32)").alias("up"))
     spans = above.join(placed.select("tree", F.col("path").alias("up"), F.col("depth").alias("d"), F.col("__start").alias("from"), (F.col("__start") + F.col("size")).alias("to")), ["tree", "up"])
     seen = spans.groupBy("tree", "path").agg(F.array_sort(F.collect_list(F.struct("d", "from", "to"))).alias("up"))
     base = F.aggregate(F.slice("up", 1, F.size("up") - 1), F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
-    return placed.join(seen, ["tree", "path"]).select(
+    return nodes.select("tree", "path", "conv_ids", "tokens").join(placed.join(seen, ["tree", "path"]), ["tree", "path"]).select(
         "tree", F.col("__node").cast("long").alias("node"), "depth", "conv_ids", F.col("__start").alias("start"), "tokens",
         F.when(F.col("size") > 0, F.sequence(base, base + F.col("size") - 1)).otherwise(F.array().cast("array<bigint>")).alias("positions"),
         F.transform("up", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"))).alias("attend"),
