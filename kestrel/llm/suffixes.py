@@ -32,18 +32,28 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[: len(now) - (width - size)], now[width - size :]) if width > size else now
 
 
-def anchored(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, least anchor, first passage, number of passages) of each run of passages that share their least anchor."""
+def anchored(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, least anchor, first passage, number of passages, whether it is at two places in them) of each run of passages that share their least anchor.
+
+    In a text that repeats itself every PASSAGE - ANCHOR + 1 words or less, a
+    passage and its repeat lie in one run, which then holds the anchor twice.
+    """
+    width = PASSAGE - ANCHOR + 1
     n = np.diff(words.first)
     for t in np.flatnonzero(n >= PASSAGE):
         at = np.arange(words.first[t], words.first[t + 1] - ANCHOR + 1)
-        low = _least(mix(words.spans(at, ANCHOR) ^ U(0x5851F42D4C957F2D)), PASSAGE - ANCHOR + 1)
+        every = mix(words.spans(at, ANCHOR) ^ U(0x5851F42D4C957F2D))
+        low = _least(every, width)
         new = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        yield int(t), low[new], new, np.diff(np.append(new, len(low)))
+        size = np.diff(np.append(new, len(low)))
+        # The run's first place of the anchor is in its first passage, the last one in its last.
+        of, last = np.lib.stride_tricks.sliding_window_view(every, width), new + size - 1
+        again = new + of[new].argmin(1) != last + width - 1 - of[last][:, ::-1].argmin(1)
+        yield int(t), low[new], new, size, again
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
-    """(key, anchor, at, n) of (key, text)."""
+    """(key, anchor, at, n, again) of (key, text)."""
 
     def run(batches):
         for batch in batches:
@@ -53,9 +63,9 @@ def _anchors(texts: DataFrame) -> DataFrame:
                 if found:
                     rows = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
                     col = lambda k, t: pa.array(np.concatenate([f[k] for f in found]).astype(t))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate([f[1] for f in found]).view(np.int64)), col(2, np.int32), col(3, np.int32)], ["key", "anchor", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate([f[1] for f in found]).view(np.int64)), col(2, np.int32), col(3, np.int32), col(4, bool)], ["key", "anchor", "at", "n", "again"])
 
-    return texts.mapInArrow(run, "key binary, anchor long, at int, n int")
+    return texts.mapInArrow(run, "key binary, anchor long, at int, n int, again boolean")
 
 
 # A run, as it is exchanged: its suffixes in order, each as the number of parts
@@ -289,8 +299,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     with the least doc_id (nulls last). Null, empty and shorter texts have no
     passages; an empty table gives no rows; other columns are ignored.
 
-    Passages occur twice only where their least anchors do, so only such
-    passages are sorted.
+    Passages occur twice only where their least anchors do, in two runs or at
+    two places of one run, so only such passages are sorted.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -299,7 +309,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Of equal texts that have other ids one row is sorted.
     texts = rows.join(copies, "key", "left").where("copies is null or doc_id <=> first_id").select("key", "text")
     anchors = cut(_anchors(texts), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    twice = anchors.groupBy("anchor").agg(F.count("*").alias("k"), F.max("again").alias("again")).where("k > 1 or again").select("anchor")
     live = cut(anchors.join(twice, "anchor").groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("live")).select("key", "live"), "live")
     runs = _sorted_runs(texts.join(live, "key"), parts)
     found = cut(_spans(_repeats(runs, parts)), "spans")

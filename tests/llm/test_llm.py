@@ -173,6 +173,32 @@ def test_repeated_passages_equal_brute_force(spark):
     assert all(later[t] == set(range(len(texts[0].split()))) for t in copies)
 
 
+def test_repeated_passages_of_periodic_texts(spark):
+    rng = random.Random(14)
+    texts = []
+    for period in (1, 2, 3, 24, 25, 26, 27):
+        for n in (49 + period, 50 + period, 51 + period, 80 + period, 300):  # the first has no repeat, if it isn't 300 words long
+            unit = [f"w{len(texts)}x{i}" for i in range(period)]
+            texts.append(" ".join([prose(rng, 30), *(unit[i % period] for i in range(n)), prose(rng, 30)]))
+    want, want_later = {}, {}
+    seen = {}
+    for t, text in enumerate(texts):
+        w = text.split()
+        for i in range(len(w) - 49):
+            seen.setdefault(tuple(w[i : i + 50]), []).append((t, i))
+    for places in seen.values():
+        assert len({t for t, _ in places}) == 1
+        for k, (t, i) in enumerate(places):
+            if len(places) > 1:
+                want.setdefault(t, set()).update(range(i, i + 50))
+            if k:
+                want_later.setdefault(t, set()).update(range(i, i + 50))
+    assert len(want) == 28
+    rows = suffixes.repeated_passages(table(spark, texts)).collect()
+    assert {r.doc_id: {i for s in r.spans for i in range(s["from"], s["to"])} for r in rows} == want
+    assert {r.doc_id: {i for s in r.later for i in range(s["from"], s["to"])} for r in rows} == want_later
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = np.random.default_rng(6)
     for k in (1, 2, 3, 7):
