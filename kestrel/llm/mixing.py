@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.textnp import raw, slices
-from kestrel.session import cut
+from kestrel.llm.textnp import U, raw, slices
+from kestrel.session import cut, scratch
 
-#: Bytes of context of each predictor, and the bits of its table's slots.
+#: Bytes of context of each predictor, and the bits of its table's slots for a small corpus.
 ORDERS, SLOTS = (2, 3, 5), 20
 #: Texts fall in two folds by a hash of themselves; a text is predicted from the other fold's counts.
 FOLDS = 2
@@ -24,9 +27,10 @@ BLOCK, SEGMENT = 64, 8192
 RATE = 0.005
 #: Bytes that are coded side by side.
 LANES = 1 << 19
-#: Slots that travel together when counts are added up.
-CELL = 1 << 15
-_SIZE = (1 << SLOTS) + (1 << 16)
+#: Slots for each one that the corpus's own contexts take, at least.
+ROOM = 2
+#: Slots that travel together when counts are added up, and distinct counts that a task holds.
+CELL, HELD = 1 << 16, 1 << 22
 _MASK = (1 << SLOTS) - 1
 
 
@@ -82,25 +86,48 @@ def contexts(data: np.ndarray, offsets: np.ndarray, order: int, lo: int, hi: int
     return h
 
 
-def count(data: np.ndarray, offsets: np.ndarray, into: np.ndarray) -> None:
-    """Add the bits of texts to into (order x (2 * slot + bit)).
+def size(slots: int) -> int:
+    """Slots of a table whose contexts have so many bits; the second half bytes reach beyond them."""
+    return (1 << slots) + CELL
 
-    Equal pairs of context and byte are counted first, by sorting, so only
-    distinct ones are spread over their eight slots.
-    """
+
+def count(data: np.ndarray, offsets: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashed context and byte, how often) of texts, the distinct ones of each range, in order."""
+    out = []
     for lo, hi in ranges(offsets, 1 << 22):
-        for i, order in enumerate(ORDERS):
-            pair = contexts(data, offsets, order, lo, hi) & np.uint32(_MASK >> 4)
-            pair <<= np.uint32(8)
-            pair |= data[lo:hi]
-            pair.sort()
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            n, pair = np.diff(np.append(first, len(pair))), pair[first]
-            byte = pair & np.uint32(255)
-            slot = ((pair >> np.uint32(8)).astype(np.int64) << 4) + _NODE[:, byte]
-            slot *= 2
-            slot += _BIT[:, byte].astype(np.int64)
-            into[i] += np.bincount(slot.ravel(), np.tile(n, 8), 2 * _SIZE).astype(np.uint32)
+        pair = contexts(data, offsets, order, lo, hi).astype(U)
+        pair <<= U(8)
+        pair |= data[lo:hi]
+        pair.sort()
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        out.append((pair[first], np.diff(np.append(first, len(pair))).astype(U)))
+    return out
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, sum) of the parts' keys, in order."""
+    key, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Keys in order and their counts, compressed."""
+    return zlib.compress(np.diff(key, prepend=U(0)).tobytes() + n.tobytes(), 1)
+
+
+def unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(body), U)
+    return np.cumsum(both[: len(both) // 2], dtype=U), both[len(both) // 2 :]
+
+
+def slots_of(key: np.ndarray, n: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(2 * slot + bit, how often) of counted pairs of context and byte."""
+    byte = (key & U(255)).astype(np.int64)
+    slot = ((key >> U(8) & U((1 << slots - 4) - 1)).astype(np.int64) << 4) + _NODE[:, byte]
+    return added([((2 * slot + _BIT[:, byte].astype(np.int64)).ravel().astype(U), np.tile(n, 8))])
 
 
 def fold_of(column: pa.Array) -> np.ndarray:
@@ -115,9 +142,17 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """logit[fold, order, slot], in sixteenths."""
+    """logit[fold, order, slot], in sixteenths, in a file of the shared folder that each worker maps."""
 
-    logit: np.ndarray
+    path: str
+    slots: int
+
+    @cached_property
+    def logit(self) -> np.ndarray:
+        return np.asarray(np.memmap(self.path, np.int8, "r", shape=(FOLDS, len(ORDERS), size(self.slots))))
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "slots": self.slots}
 
     def bits(self, column: pa.Array, fold: int) -> np.ndarray:
         """Bits of each text.
@@ -145,7 +180,7 @@ class Model:
         order = np.argsort(-size, kind="stable")
         owner, begin, size = owner[order], begin[order] - lo, size[order]
         body = data[lo:hi]
-        ctx = [(contexts(data, offsets, o, lo, hi) & np.uint32(_MASK >> 4)).astype(np.int64) << 4 for o in ORDERS]
+        ctx = [(contexts(data, offsets, o, lo, hi) & np.uint32((1 << self.slots - 4) - 1)).astype(np.int64) << 4 for o in ORDERS]
         lanes = len(owner)
         w = np.full((len(ORDERS), 8, lanes), 0.45 / 16, np.float32)
         bias = np.zeros((8, lanes), np.float32)
@@ -197,57 +232,119 @@ class Model:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(cell, counts): what each task counted, by cells of slots, compressed."""
+    """(tab, bucket, counts): what each task counted, by fold and order and by ranges of hashed contexts."""
 
     def run(batches):
-        into = np.zeros((FOLDS, len(ORDERS), 2 * _SIZE), np.uint32)
-        some = False
+        held: dict[int, list] = {}
         for batch in batches:
             fold = fold_of(batch.column(0))
             for f in range(FOLDS):
                 column = batch.column(0).filter(pa.array(fold == f))
                 for a, b in slices(column, 1 << 22):
                     data, offsets = raw(column.slice(a, b - a))
-                    count(data, offsets, into[f])
-                    some = some or len(data) > 0
-        if some:
-            cells = into.reshape(-1, 2 * CELL)
-            for i, cell in enumerate(cells):
-                if cell.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(cell.tobytes(), 1)], pa.binary())], ["cell", "counts"])
-
-    return docs.select(docs["text"].cast("string").alias("text")).where("text is not null").mapInArrow(run, "cell int, counts binary")
+                    for i, order in enumerate(ORDERS):
+                        now = held.setdefault(f * len(ORDERS) + i, [])
+                        now += count(data, offsets, order)
+                        if len(now) > 8:
+                            now[:] = [added(now)]
+                    if sum(len(p[0]) for now in held.values() for p in now) > HELD:
+                        yield from out(held)
+        yield from out(held)
+
+    def out(held):
+        for tab, now in held.items():
+            if now:
+                key, n = added(now)
+                bounds = np.append(np.searchsorted(key, np.arange(64, dtype=U) << U(34)), len(key))
+                for bucket in np.flatnonzero(np.diff(bounds)):
+                    a, b = bounds[bucket], bounds[bucket + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([bucket], pa.int32()), pa.array([packed(key[a:b], n[a:b])], pa.binary())], ["tab", "bucket", "counts"])
+        held.clear()
+
+    return docs.select(docs["text"].cast("string").alias("text")).where("text is not null").mapInArrow(run, "tab int, bucket int, counts binary")
+
+
+def _grouped(batches):
+    """((tab, part), (key, sum)) of rows (tab, part, counts) that come sorted by the first two."""
+    now, parts = None, []
+    for batch in batches:
+        for *at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != now and parts:
+                yield now, added(parts)
+                parts = []
+            now = at
+            parts.append(unpacked(body))
+            if sum(len(p[0]) for p in parts) > HELD:
+                parts = [added(parts)]
+    if parts:
+        yield now, added(parts)
 
 
 def _summed(counts: DataFrame) -> DataFrame:
-    """(cell, logits) of all tasks' counts."""
+    """(tab, lines, counts) of all tasks' counts; lines are the runs of 16 slots that they take."""
 
     def run(batches):
-        now, total = None, None
-        for batch in batches:
-            for cell, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(body), np.uint32).astype(np.uint64)
-                if cell != now:
-                    if now is not None:
-                        yield out(now, total)
-                    now, total = cell, got
-                else:
-                    total = total + got
-        if now is not None:
-            yield out(now, total)
+        for (tab, _), (key, n) in _grouped(batches):
+            lines = sum(1 + int(np.count_nonzero(np.diff(key >> U(s)))) for s in (8, 4))
+            yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([lines], pa.int64()), pa.array([packed(key, n)], pa.binary())], ["tab", "lines", "counts"])
 
-    def out(cell, total):
-        return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([stretched(total.reshape(-1, 2)).tobytes()], pa.binary())], ["cell", "logits"])
+    return counts.repartition("tab", "bucket").sortWithinPartitions("tab", "bucket").mapInArrow(run, "tab int, lines long, counts binary")
 
-    return counts.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell int, logits binary")
+
+def _written(counts: DataFrame, model: Model) -> DataFrame:
+    """(tab, cell): cells of slots whose logits were written at their place in the model's file."""
+    slots, path = model.slots, model.path
+
+    def spread(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for tab, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(tab, []).append(slots_of(*unpacked(body), slots))
+                if sum(len(p[0]) for now in held.values() for p in now) > HELD:
+                    yield from out(held)
+        yield from out(held)
+
+    def out(held):
+        for tab, now in held.items():
+            key, n = added(now)
+            cell = (key // U(2 * CELL)).astype(np.int64)
+            for own in np.split(np.arange(len(key)), np.flatnonzero(np.diff(cell)) + 1):
+                yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([cell[own[0]]], pa.int32()), pa.array([packed(key[own], n[own])], pa.binary())], ["tab", "cell", "counts"])
+        held.clear()
+
+    def write(batches):
+        with open(path, "r+b") as file:
+            for (tab, cell), (key, n) in _grouped(batches):
+                both = np.zeros(2 * CELL, U)
+                both[(key % U(2 * CELL)).astype(np.int64)] = n
+                file.seek(tab * size(slots) + cell * CELL)
+                file.write(stretched(both.reshape(-1, 2)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([cell], pa.int32())], ["tab", "cell"])
+
+    spreads = counts.select("tab", "counts").mapInArrow(spread, "tab int, cell int, counts binary")
+    return spreads.repartition("tab", "cell").sortWithinPartitions("tab", "cell").mapInArrow(write, "tab int, cell int")
 
 
 def fit(docs: DataFrame) -> Model:
-    """Bit counts of all texts' contexts; the model has some 2^SLOTS bytes a fold and predictor, whatever the corpus's size."""
-    logit = np.zeros(FOLDS * len(ORDERS) * _SIZE, np.int8).reshape(-1, CELL)
-    for row in cut(_summed(_counted(docs)), "logits").toLocalIterator():
-        logit[row.cell] = np.frombuffer(row.logits, np.int8)
-    return Model(logit.reshape(FOLDS, len(ORDERS), _SIZE))
+    """Bit counts of all texts' contexts.
+
+    Distinct pairs of context and byte are counted in a table, and the slots
+    are ROOM times as many as the largest fold's predictor takes in it, so the
+    model grows with the corpus. Neither the driver nor a task holds it.
+    """
+    spark = docs.sparkSession
+    counts = cut(_summed(_counted(docs)), "counts")
+    most = counts.groupBy("tab").agg(F.sum("lines").alias("n")).agg(F.max("n")).head()[0] or 0
+    slots = max(SLOTS, 4 + (ROOM * most - 1).bit_length()) if most else SLOTS
+    url = urlparse(scratch(spark, "logits"))
+    if url.scheme not in ("", "file"):
+        raise ValueError("op4's model is mapped from spark.checkpoint.dir, which must be a mounted folder")
+    model = Model(unquote(url.path), slots)
+    os.makedirs(os.path.dirname(model.path), exist_ok=True)
+    with open(model.path, "wb") as file:
+        file.truncate(FOLDS * len(ORDERS) * size(slots))
+    _written(counts, model).agg(F.count("*")).collect()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

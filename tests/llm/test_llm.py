@@ -254,6 +254,29 @@ def test_bits_equal_a_plain_coder(spark):
     assert noise.bits_per_byte > 1.5 * max(r.bits_per_byte for r in scored.values())
 
 
+def test_the_model_grows_with_the_contexts(spark):
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000)) for _ in range(200)]
+    fold = mixing.fold_of(pa.array(texts))
+    model = mixing.fit(table(spark, texts))
+    for i, order in enumerate(mixing.ORDERS):
+        counts = {}
+        for t in (t.encode() for t, f in zip(texts, fold, strict=True) if f == 0):
+            for p in range(len(t)):
+                counts.setdefault(t[max(0, p - order) : p], []).append(t[p])
+        lines = len(counts) + len({(c, x >> 4) for c, xs in counts.items() for x in xs})
+        assert model.logit.shape[2] >= 16 * lines
+        # The third bit's slot (after 0 and 1) of nearly every context has that context's own logit.
+        own = []
+        for c, xs in counts.items():
+            whole = np.frombuffer(c + b"x", np.uint8)
+            h = int(mixing.contexts(whole, np.array([0, len(whole)]), order, len(c), len(c) + 1)[0])
+            slot = ((h & ((1 << model.slots - 4) - 1)) << 4) + 5
+            ones = sum(x >> 5 & 1 for x in xs)
+            own.append(model.logit[0, i, slot] == mixing.stretched(np.array([[len(xs) - ones, ones]]))[0])
+        assert np.mean(own) > 0.75
+
+
 def test_contexts_dont_depend_on_ranges():
     data, off = np.frombuffer(b"hello world, this is text" * 3, np.uint8), np.array([0, 5, 5, 40, 75])
     for o in mixing.ORDERS:
