@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from kestrel.functions.distance import distance, similarity, vector
 from kestrel.functions.quantize import i8
 from kestrel.operators.filters import Restriction, where
+from kestrel.session import cut
 
 
 def _checked(limit: int, query: Sequence[float], dimension: int | None) -> None:
@@ -109,15 +110,27 @@ class InvertedFile:
         self.path, self.centres, self.vec, self.key = path, centres, vec, key
 
     @classmethod
-    def build(cls, df: DataFrame, vec: str, key: str, path: str, cells: int = 16, sample: int = 20_000, seed: int = 1) -> InvertedFile:
-        """Centres by k-means over a bounded sample of vectors (a fit, not a search), then one pass that writes all rows."""
-        some = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v")).orderBy(F.xxhash64("v")).limit(sample).toPandas()["v"]
-        x = np.stack(some.to_numpy()) if len(some) else np.zeros((1, 1))
-        rng = np.random.default_rng(seed)
-        centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-        for _ in range(12):
-            near = ((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1) if x.size * len(centres) < 50_000_000 else np.concatenate([((p[:, None, :] - centres[None]) ** 2).sum(2).argmin(1) for p in np.array_split(x, 64)])
-            centres = np.stack([x[near == i].mean(0) if (near == i).any() else centres[i] for i in range(len(centres))])
+    def build(cls, df: DataFrame, vec: str, key: str, path: str, cells: int = 16, seed: int = 1) -> InvertedFile:
+        """Centres by k-means over all vectors, a Spark job a round, then one pass that writes all rows."""
+        rows = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
+        some = [r.v for r in rows.orderBy(F.xxhash64("v", F.lit(seed))).limit(cells).collect()]
+        centres = np.array(some) if some else np.zeros((1, 1))
+        for _ in range(12 if some else 0):
+
+            def sums(frames, centres=centres):
+                total, n = np.zeros_like(centres), np.zeros(len(centres))
+                for f in frames:
+                    x = np.stack(f["v"].to_numpy())
+                    near = ((centres * centres).sum(1)[None] - 2 * x @ centres.T).argmin(1)
+                    np.add.at(total, near, x)
+                    n += np.bincount(near, minlength=len(centres))
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"cell": at, "n": n[at], "total": list(total[at])})
+
+            every = rows.mapInPandas(sums, "cell long, n double, total array<double>").groupBy("cell").agg(F.sum("n").alias("n"), *(F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(centres.shape[1])))
+            centres = centres.copy()
+            for r in every.collect():
+                centres[r[0]] = np.array(r[2:]) / r[1]
 
         @F.pandas_udf("int")
         def cell(v: pd.Series) -> pd.Series:
@@ -131,3 +144,89 @@ class InvertedFile:
         near = ((self.centres - np.asarray(query)) ** 2).sum(1).argsort()[:probes]
         rows = spark.read.parquet(self.path).where(F.col("cell").isin([int(i) for i in near]))
         return search(rows, self.vec, [self.key], query, limit, kind)
+
+    def search_all(self, queries: DataFrame, query_id: str, query_vec: str, limit: int, probes: int = 4) -> DataFrame:
+        """(query_id, rank, key, distance) of each query's nearest rows by squared Euclidean distance, none missed.
+
+        The `probes` nearest cells bound a query's last distance; then each
+        other cell is read that may hold something nearer, by the triangle
+        inequality with the cell's radius.
+        """
+        spark, centres, key = queries.sparkSession, self.centres, self.key
+        rows = spark.read.parquet(self.path).select("cell", F.col(key).alias("k"), F.col(self.vec).cast("array<double>").alias("v")).where("k is not null")
+        gap = lambda x: np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * x @ centres.T), 0))
+
+        def radii(frames):
+            for f in frames:
+                far = gap(np.stack(f["v"].to_numpy()))[np.arange(len(f)), f["cell"]]
+                yield pd.DataFrame({"cell": f["cell"], "far": far}).groupby("cell", as_index=False).max()
+
+        radius = np.full(len(centres), -np.inf)
+        for r in rows.mapInPandas(radii, "cell int, far double").groupBy("cell").agg(F.max("far")).collect():
+            radius[r[0]] = r[1]
+        asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v")).where(F.size("v") == centres.shape[1]).where("q is not null")
+
+        def nearest(q):
+            """(distance to each centre, whether the cell is among the `probes` nearest)."""
+            d = gap(q)
+            near = np.zeros(d.shape, bool)
+            np.put_along_axis(near, np.where(radius >= 0, d, np.inf).argsort(1, kind="stable")[:, :probes], True, 1)
+            return d, near & (radius >= 0)[None]
+
+        def routed(frames):
+            for f in frames:
+                i, cell = np.nonzero(nearest(np.stack(f["v"].to_numpy()))[1])
+                yield pd.DataFrame({"cell": cell, "q": f["q"].to_numpy()[i], "v": f["v"].to_numpy()[i]})
+
+        def blocks(df, *cols):  # of one cell each, and of bounded size
+            w = Window.partitionBy("cell").orderBy(cols[0])
+            return df.withColumn("b", F.floor((F.row_number().over(w) - 1) / 1024)).groupBy("cell", "b").agg(F.collect_list(F.struct(*cols)).alias(cols[0] + "s")).drop("b")
+
+        def compared(frames):
+            for f in frames:
+                for qs, ks in zip(f["qs"], f["ks"], strict=True):
+                    q, x = np.array([r["v"] for r in qs]), np.array([r["v"] for r in ks])
+                    ids, k = np.array([r["q"] for r in qs]), np.array([r["k"] for r in ks])
+                    order = np.argsort(k, kind="stable")
+                    x, k = x[order], k[order]
+                    best = ((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T).argsort(1, kind="stable")[:, : limit + 8]
+                    d = ((q[:, None] - x[best]) ** 2).sum(2)  # exact for those, so that ties go by key
+                    turn = np.lexsort((best, d))[:, :limit]
+                    best, d = np.take_along_axis(best, turn, 1), np.take_along_axis(d, turn, 1)
+                    yield pd.DataFrame({"q": np.repeat(ids, best.shape[1]), "k": k[best].ravel(), "distance": d.ravel()})
+
+        out = f"q {asked.schema['q'].dataType.simpleString()}, k {rows.schema['k'].dataType.simpleString()}, distance double"
+        pairs = blocks(asked.mapInPandas(routed, f"cell int, q {asked.schema['q'].dataType.simpleString()}, v array<double>"), "q", "v")
+        w = Window.partitionBy("q").orderBy("distance", "k")
+        best = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+        rough = cut(best(pairs.join(blocks(rows, "k", "v"), "cell").select("qs", "ks").mapInPandas(compared, out)), "rough").drop("rank")
+        last = rough.groupBy("q").agg(F.max("distance").alias("last"), F.count("*").alias("n")).where(F.col("n") >= limit).select("q", "last")
+        asked = cut(asked.join(last, "q", "left"), "asked")
+        found, n = rough, max(1, math.ceil(asked.count() / 4096))
+        for b in range(n):
+            got = asked.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b).collect()
+            if not got:
+                continue
+            ids, q, most = np.array([r["q"] for r in got]), np.array([r["v"] for r in got]), np.array([np.inf if r["last"] is None else r["last"] for r in got])
+            d, near = nearest(q)
+            need = ~near & (d - radius[None] <= np.sqrt(most)[:, None] + 1e-6 * (1 + d))
+
+            def nearer(frames, ids=ids, q=q, most=most, need=need):
+                for f in frames:
+                    for a in range(0, len(f), 1024):
+                        x, k, cell = np.stack(f["v"].to_numpy()[a : a + 1024]), f["k"].to_numpy()[a : a + 1024], f["cell"].to_numpy()[a : a + 1024]
+                        for c in range(0, len(q), 256):
+                            p, top = q[c : c + 256], most[c : c + 256]
+                            size = (p * p).sum(1)[:, None] + (x * x).sum(1)[None]
+                            i, j = np.nonzero((size - 2 * p @ x.T <= top[:, None] + 1e-9 * (1 + size)) & need[c : c + 256][:, cell])
+                            d = ((p[i] - x[j]) ** 2).sum(1)
+                            turn = np.lexsort((k[j], d, i))
+                            i, j, d = i[turn], j[turn], d[turn]
+                            use = (np.arange(len(i)) - np.searchsorted(i, i) < limit) & (d <= top[i])
+                            if use.any():
+                                yield pd.DataFrame({"q": ids[c + i[use]], "k": k[j[use]], "distance": d[use]})
+
+            cells = [int(i) for i in np.flatnonzero(need.any(0))]
+            if cells:
+                found = found.union(rows.where(F.col("cell").isin(cells)).mapInPandas(nearer, out))
+        return best(found).select(F.col("q").alias(query_id), "rank", F.col("k").alias(key), "distance")

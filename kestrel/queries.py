@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial
 
@@ -137,8 +138,10 @@ _add("bf16_round_trip", lambda spark, sf: _t(spark, sf, "embeddings").select("ve
 
 
 def _ivf(spark, sf):
-    e, q = _raw(spark, sf)
-    return ann.InvertedFile.build(e, "v", "vec_id", scratch(spark, "ivf")).search(spark, q, 10, 6)
+    """Every row is a query."""
+    e = _t(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    index = ann.InvertedFile.build(e, "v", "vec_id", scratch(spark, "ivf"), max(16, math.isqrt(e.count())))
+    return index.search_all(e.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id", "qv", 10)
 
 
 _add("ann_ivf", _ivf)

@@ -99,6 +99,26 @@ def test_batch_partition_ivf(spark, tmp_path):
     assert hits >= 90
 
 
+def test_registered_ivf_finds_every_neighbour(spark, tmp_path):
+    import __spark_entry__
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(700, 64)).astype(np.float32)
+    x[:200] = x[0] + 0.05 * x[:200]  # a tight group
+    rows = [(i, [float(a) for a in v], i % 10) for i, v in enumerate(x)]
+    spark.createDataFrame([*rows, (700, None, 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in __spark_entry__.queries()["ann_ivf"](spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.distance)
+    x = x.astype(float)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    near = np.argsort(d, 1, kind="stable")[:, :10]
+    assert sorted(got) == list(range(700))
+    for q in range(700):
+        assert [got[q][k][0] for k in range(1, 11)] == near[q].tolist()
+        assert [got[q][k][1] for k in range(1, 11)] == pytest.approx(d[q, near[q]].tolist())
+
+
 def test_quantization(spark):
     q = np.array([0.5, 0.3, 0.7])
     rows = [(i, [float(v) for v in q + i * 0.001 * np.array([2, 4, 8])]) for i in range(500)]
