@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kestrel.llm.names import fresh, own
 from kestrel.session import cut, maybe_broadcast
 
 #: Relative width of a sketch's buckets: a quantile is right to 1 %.
@@ -34,9 +35,10 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def _measured(docs: DataFrame) -> DataFrame:
+def _measured(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a struct of the measures, null for a blank text."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.withColumn("__q", F.when(F.length(F.regexp_replace(text, "[ \\t\\n\\r\\f]+", "")) > 0, F.struct(*(c.alias(k) for k, c in measures(text).items()))))
+    return docs.withColumn(name, F.when(F.length(F.regexp_replace(text, "[ \\t\\n\\r\\f]+", "")) > 0, F.struct(*(c.alias(k) for k, c in measures(text).items()))))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -44,9 +46,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     Two tables of sketches are merged by adding n for equal keys.
     """
-    rows = _measured(docs.select(docs["text"].alias("text"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"))).where("__q is not null")
-    values = F.array(*(F.struct(F.lit(k).alias("rule"), (F.col(f"__q.{k}") + s).alias("v")) for k, s in RULES.items()))
-    one = rows.select("lang", "source", F.explode(values).alias("x"))
+    return _sketched(_measured(docs.select(docs["text"].alias("text"), docs["lang"].alias("lang"), docs["source"].alias("source")), "q"))
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """The sketches of measured rows (lang, source, q)."""
+    values = F.array(*(F.struct(F.lit(k).alias("rule"), (F.col(f"q.{k}") + s).alias("v")) for k, s in RULES.items()))
+    one = rows.where("q is not null").select(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.explode(values).alias("x"))
     return one.groupBy("lang", "source", F.col("x.rule").alias("rule"), F.ceil(F.ln(F.col("x.v")) / math.log(GAMMA)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -77,31 +83,40 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source").agg(F.max("level").alias("level"), *(pick(r) for r in RULES))
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """docs with __q (measures), __t (thresholds) and __keep."""
-    limits = maybe_broadcast(cut(thresholds(sketches(docs)), "thresholds").select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct("level", *RULES).alias("__t")))
-    rows = _measured(docs)
-    joined = rows.join(limits, rows["lang"].cast("string").eqNullSafe(limits["__lang"]) & rows["source"].cast("string").eqNullSafe(limits["__source"]), "left").drop("__lang", "__source")
+def _judged(rows: DataFrame, sketch: DataFrame, q: str, t: str, keep: str) -> DataFrame:
+    """Measured rows with the thresholds t and the verdict keep; a measure at its threshold is fine."""
+    lang, source = fresh([*rows.columns, t, keep], "lang_of", "source_of")
+    limits = maybe_broadcast(cut(thresholds(sketch), "thresholds").select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct("level", *RULES).alias(t)))
+    joined = rows.join(limits, rows["lang"].cast("string").eqNullSafe(limits[lang]) & rows["source"].cast("string").eqNullSafe(limits[source]), "left")
     fine = F.lit(True)
     for r in RULES:
-        fine = fine & (F.col(f"__q.{r}") <= F.col(f"__t.{r}"))
-    return joined.withColumn("__keep", F.coalesce(fine, F.lit(False)))
+        fine = fine & (F.col(f"{q}.{r}") <= F.col(f"{t}.{r}"))
+    return joined.withColumn(keep, F.coalesce(fine, F.lit(False)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, caps, symbols, repeats, level, keep): each row's measures, which thresholds judged it, and whether it stays.
 
-    A null or blank text has null measures and doesn't stay. A null language
-    or source is a group of its own. Repeated rows are judged alike and all
-    returned; an empty table gives an empty one; other columns are ignored.
+    A null or blank text has null measures and doesn't stay; one whose measure
+    equals its threshold stays. A null language or source is a group of its
+    own. Very long texts are measured whole. Repeated rows are judged alike
+    and all returned; an empty table gives an empty one; other columns are
+    ignored. Texts are read once: their measures go through a table.
     """
-    d = _judged(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"), docs["source"].alias("source")))
-    return d.select("doc_id", *(F.col(f"__q.{r}").alias(r) for r in RULES), F.when(F.col("__q").isNotNull(), F.col("__t.level")).alias("level"), F.col("__keep").alias("keep"))
+    some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"), docs["source"].alias("source"))
+    rows = cut(_measured(some, "q").drop("text"), "measures")
+    d = _judged(rows, _sketched(rows), "q", "t", "keep")
+    return d.select("doc_id", *(F.col(f"q.{r}").alias(r) for r in RULES), F.when(F.col("q").isNotNull(), F.col("t.level")).alias("level"), "keep")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the quality rules keep, with all their columns."""
-    return _judged(docs).where("__keep").drop("__q", "__t", "__keep")
+    """The rows of docs that quality_rules keeps, with all their columns.
+
+    Nulls, blanks, ties, repeated rows, very long texts and empty tables are
+    treated as there; columns may have any names.
+    """
+    q, t, keep = fresh(docs.columns, "q", "t", "keep")
+    return _judged(_measured(docs, q), sketches(docs), q, t, keep).where(F.col(keep)).select(*own(docs))
 
 
 def _sql_measures() -> str:
