@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kestrel.llm.names import fresh, own
 from kestrel.llm.textnp import U, Words, mix, slices
 from kestrel.session import cut, maybe_broadcast
 
@@ -234,7 +235,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id, size, keep): each row's group, the group's rows, and whether the row stays.
 
     group_id is the least doc_id of the group, and of its rows that with the
-    least doc_id stays (nulls last; of repeated rows one). A row that has no
+    least doc_id stays (nulls last; of repeated rows and of ties one). Texts of
+    any length are compared whole. A row that has no
     near or exact copy is a group of its own. Null and wordless texts aren't
     compared: each is alone and stays. An empty table gives an empty one;
     other columns are ignored.
@@ -251,15 +253,22 @@ def _worded(text: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, that of near_duplicates; only rows of texts that have copies are moved."""
+    """docs with one row of each group and with all their columns; only rows of texts that have copies are moved.
+
+    The row that stays is that which near_duplicates keeps. Null, empty and
+    wordless texts are alone and all stay; of repeated rows and of ties in
+    doc_id one stays; very long texts are compared whole; an empty table gives
+    an empty one; columns may have any names.
+    """
+    name, many, least, stays, rank = fresh([*docs.columns, "key", "group"], "name", "many", "least", "stays", "rank")
     key = text_key(docs["text"].cast("string"))
-    of = cut(groups(docs), "groups")
-    counts = docs.where(_worded(docs["text"])).groupBy(key.alias("__key")).agg(F.count("*").alias("__n"), F.min(docs["doc_id"].cast("long")).alias("__id"))
-    some = counts.join(of.withColumnRenamed("key", "__key"), "__key", "left").where("group is not null or __n > 1").withColumn("group", F.coalesce("group", "__key"))
-    w = Window.partitionBy("group").orderBy(F.col("__id").asc_nulls_last(), "__key")
-    told = maybe_broadcast(cut(some.select("__key", "__n", (F.row_number().over(w) == 1).alias("__first")), "told"))
-    rows = docs.withColumn("__key", F.when(_worded(docs["text"]), key)).join(told, "__key", "left")
-    alone = rows.where("__first is null or (__first and __n = 1)")
-    one = Window.partitionBy("__key").orderBy(F.col("doc_id").asc_nulls_last())
-    copied = rows.where("__first and __n > 1").withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r")
-    return alone.union(copied).drop("__key", "__n", "__first")
+    of = cut(groups(docs), "groups").withColumnRenamed("key", name)
+    counts = docs.where(_worded(docs["text"])).groupBy(key.alias(name)).agg(F.count("*").alias(many), F.min(docs["doc_id"].cast("long")).alias(least))
+    some = counts.join(of, name, "left").where(F.col("group").isNotNull() | (F.col(many) > 1)).withColumn("group", F.coalesce("group", name))
+    w = Window.partitionBy("group").orderBy(F.col(least).asc_nulls_last(), name)
+    told = maybe_broadcast(cut(some.select(name, many, (F.row_number().over(w) == 1).alias(stays)), "told"))
+    rows = docs.withColumn(name, F.when(_worded(docs["text"]), key)).join(told, name, "left")
+    alone = rows.where(F.col(stays).isNull() | (F.col(stays) & (F.col(many) == 1)))
+    one = Window.partitionBy(name).orderBy(F.col("doc_id").asc_nulls_last())
+    copied = rows.where(F.col(stays) & (F.col(many) > 1)).withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1)
+    return alone.select(*own(docs)).union(copied.select(*own(docs)))

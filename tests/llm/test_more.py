@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, toxicity
-from tests.llm.test_llm import SCHEMA, VOCAB, prose, table
+from kestrel.llm import bpe, chat, decontaminate, mixing, neardup, pii, quality, sharding, suffixes, toxicity
+from tests.llm.test_llm import prose, table
 
 
 def test_chat_takes_odd_rows(spark):
@@ -124,3 +125,140 @@ def test_toxicity_of_odd_labels(spark):
     assert sorted((r.id, r.text, r.toxic) for r in toxicity.training_rows(docs, labels).collect()) == [(1, "fine words", 0), (2, "bad words", 1)]
     assert [r.toxic for r in toxicity.training_rows(docs, labels, 1).collect()] .count(1) <= 1
     assert toxicity.toxicity(docs, labels.limit(0)).where("toxic").count() == 0
+
+
+CLASH = ("name", "many", "least", "stays", "rank", "key", "group", "q", "t", "keep", "lang_of", "source_of", "mine", "n_entities", "kind", "norm", "attempt", "id", "band", "checks", "arrival", "__n", "__q", "__lang", "__key", "a.b", "MANY")
+
+
+def test_columns_may_have_any_names(spark):
+    rng = random.Random(41)
+    texts = [*(prose(rng, 60) for _ in range(30)), "mail me at who@where.org now " + prose(rng, 50), None, ""]
+    texts += texts[:3]
+    docs = table(spark, texts).drop("key", "group")
+    wide = docs
+    for i, c in enumerate(CLASH[:-1]):
+        wide = wide.withColumn(c, F.lit(i))
+    bench = spark.createDataFrame([(1, texts[5])], "item_id long, text string")
+    for f in (quality.quality_filter, neardup.drop_near_duplicates, lambda d: decontaminate.drop_leaks(d, bench), lambda d: pii.pseudonymize_rows(d, "k")):
+        plain, found = f(docs), f(wide)
+        assert found.columns == wide.columns
+        rows = sorted(found.collect(), key=str)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, found.select(*docs.columns).collect()))
+        assert all(tuple(r)[len(docs.columns) :] == tuple(range(len(CLASH) - 1)) for r in rows)
+    for f in (quality.quality_rules, neardup.near_duplicates, lambda d: pii.pseudonymize(d, "k"), mixing.bits_per_byte, bpe.tokenize, lambda d: suffixes.repeated_passages(d), lambda d: decontaminate.leaks(d, bench)):
+        assert sorted(map(str, f(docs).collect())) == sorted(map(str, f(wide).collect()))
+    assert sharding.shard(wide).read().columns == wide.columns
+
+
+def test_surrogates_of_used_up_shapes_end(spark):
+    """All 676 addresses x@y.com are real, and all one-digit octets of a net."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(f"{a}@{b}.com" for b in letters) for a in letters] + [" ".join(f"{i}.{j}.{k}.{m}" for k in range(1, 10) for m in range(1, 10)) for i in range(1, 10) for j in range(1, 10)]
+    real = {e[:2] for t in texts for e in pii.entities(t)}
+    assert len(real) == 676 + 6561
+    made = {(r.kind, r.norm): r.sur for r in pii.mapping(table(spark, texts), "key").collect()}
+    assert set(made) == real and len({(k, s) for (k, _), s in made.items()}) == len(real)
+    assert not {(k, s) for (k, _), s in made.items()} & real
+
+
+def plain_surrogates(texts, key):
+    """Draws made in plain Python, all of one round before the next."""
+    real = {e[:2] for t in texts if t for e in pii.entities(t)}
+    tries = dict.fromkeys(real, 0)
+    while True:
+        drawn = {e: (e[0], pii.surrogate(*e, n, key)) for e, n in tries.items()}
+        firsts = {}
+        for e, s in drawn.items():
+            firsts[s] = min(firsts.get(s, e[1]), e[1])
+        again = [e for e, s in drawn.items() if s in real or firsts[s] != e[1]]
+        if not again:
+            return tries
+        for e in again:
+            tries[e] += 1
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_surrogates_equal_a_plain_version(spark, monkeypatch, joined):
+    if joined:  # exceptions that are too many to be sent to every task
+        monkeypatch.setattr(pii, "EXCEPTION_BYTES", -1)
+    rng = random.Random(17)
+    names = ["Mrs. Anna Berg", "Mr. Berg", "Anna Berg", "John Smith", "Dr. Jean-Luc Picard", "Mr. Иван Петров", "MRS. ANNA BERG"]
+    make = (lambda: f"{rng.choice('abcdefghijklmnop')}@{rng.choice('abcdefghijklmnop')}.com", lambda: f"{rng.randrange(1, 4)}.{rng.randrange(1, 4)}.1.1", lambda: rng.choice(names), lambda: f"555-{rng.randrange(100):03d}-0000", lambda: "4111 1111 1111 1111", lambda: "plain words", lambda: "token=abcd1234")
+    texts = [" and ".join(rng.choice(make)() for _ in range(rng.randrange(9))) for _ in range(200)] + [None, "", "no one"]
+    tries = plain_surrogates(texts, b"key")
+    assert max(tries.values()) > 0
+    for r in pii.pseudonymize(table(spark, texts), "key").collect():
+        t = texts[r.doc_id]
+        if t is None:
+            assert (r.text, r.n_entities) == (None, 0)
+            continue
+        out, at = "", 0
+        every = list(pii.entities(t))
+        for kind, norm, mention, start, end in every:
+            out, at = out + t[at:start] + pii.render(kind, pii.surrogate(kind, norm, tries[kind, norm], b"key"), mention), end
+        assert (r.text, r.n_entities) == (out + t[at:], len(every))
+
+
+def test_names_without_a_title():
+    assert [e[2] for e in pii.entities("Anna Berg met John Smith, and Jean-Luc Picard saw Paul. May Day; Annabel Lee; Maria said no.")] == ["Anna Berg", "John Smith", "Jean-Luc Picard"]
+    one = lambda t: pii.replace(t, b"k", lambda k, n: 0)[0]
+    assert one("Mrs. Anna Berg").removeprefix("Mrs. ") == one("Anna Berg")  # one person
+    assert one("Mrs. Anna Berg").split()[-1] != "Berg" and pii.surrogate("person", "female|anna berg", 0, b"k").split()[-1] == pii.surrogate("person", "male|john berg", 3, b"k").split()[-1]  # a family stays one
+
+
+def test_leaks_at_the_promised_recall(spark):
+    """Pairs with just as many edits as are allowed, for several shares of edits; none is capped."""
+    rng = random.Random(23)
+    for edits, recall in ((0.05, 0.9), (0.1, 0.95), (0.2, 0.9)):
+        items = [prose(rng, 9)[:50].strip() for _ in range(12)]
+        texts = []
+        for t in items:
+            s = list(t)
+            for _ in range(int(len(t) * edits)):
+                s[rng.randrange(len(s))] = rng.choice("xyz")
+            texts.append(prose(rng, 6) + " " + "".join(s) + " " + prose(rng, 6))
+        built = decontaminate.Items.of(list(range(12)), items, edits, recall)
+        assert [int(len(t) * edits) for t in built.texts] == built.most.tolist()
+        found = {(t, i) for t, i, _ in built.leaks(pa.array(texts))}
+        truth = {(t, i) for t in range(12) for i in range(12) if decontaminate.nearest(built.texts[i], decontaminate.normalized(pa.array([texts[t]]))[0].tobytes().decode(), int(built.most[i])) is not None}
+        assert found <= truth and {(i, i) for i in range(12)} <= truth and len(found) >= recall * len(truth)
+    assert decontaminate.tables_for(0.05, 0.9) < decontaminate.tables_for(0.05, 0.99) < decontaminate.tables_for(0.1, 0.99)
+
+
+def test_leaks_of_repetitive_and_short_items():
+    built = decontaminate.Items.of([1, 2, 3], ["ha " * 400, "tiny", "abc"], least=4)
+    assert list(built.leaks(pa.array(["ha " * 4000, "a tiny bit", "abc", "", None, "ha " * 399]))) == [(0, 1, 0), (1, 2, 0), (5, 1, 2)]  # the last text ends in a space
+
+
+def test_shards_of_any_table_arrive_apart_and_are_compacted(spark, tmp_path):
+    docs = table(spark, [f"text {i}" for i in range(400)])
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")  # a single file
+    some = spark.read.parquet(f"{tmp_path}/one").where("doc_id % 3 > 0")  # and not all of it
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", fanout=4)
+    assert store.append_apart(some, 4) == 4
+    sizes = [store.read(v).count() for v in (1, 2, 3, 4)]
+    assert sizes[0] > 0 and sizes == sorted(set(sizes)) and sizes[-1] == some.count() and len(store.manifest()[1]) == 4
+    assert store.compact() == 5 and len(store.manifest()[1]) == 1
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, some.collect()))
+    assert sorted(map(str, sharding.shard(some, 3, root=f"file://{tmp_path}/u").read().collect())) == sorted(map(str, some.collect()))
+
+
+def test_vacuum_spares_what_is_being_written(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(table(spark, ["one"]))
+    rows, other = table(spark, ["two"]), sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    add = store._add
+
+    def late(new, like):  # between the write and the commit another process cleans up
+        assert other.vacuum() == 0
+        return add(new, like)
+
+    store._add = late
+    store.append(rows)
+    assert sorted(r.text for r in store.read().collect()) == ["one", "two"]
+    with pytest.raises(ZeroDivisionError), store._writing() as path:
+        rows.write.parquet(path)
+        1 / 0  # noqa: B018
+    n = len(list((tmp_path / "s/shards").rglob("part-*")))
+    assert store.vacuum() == 1 and len(list((tmp_path / "s/shards").rglob("part-*"))) == n  # an older manifest alone
+    assert store.vacuum(dead=0) > 0 and store.read().count() == 2
