@@ -60,7 +60,12 @@ def condition(df: DataFrame, r: Restriction) -> Column:
     if isinstance(r.columns, str):
         if r.op != "IN":
             return _one(df, r.columns, r.op, _checked(r.value))
-        return F.lit(False) if _never(df, r.columns) or not r.value else df[r.columns].isin([_checked(v) for v in r.value])
+        if _never(df, r.columns) or not r.value:
+            return F.lit(False)
+        kind = df.schema[r.columns].dataType.typeName()
+        c = F.date_trunc("MILLISECOND", df[r.columns]) if kind == "timestamp" else df[r.columns]
+        made = c.isin([_checked(v) for v in r.value])
+        return made & ~F.isnan(c) if kind in ("float", "double") else made
     rows = r.value if r.op == "IN" else [r.value]
     if any(len(v) != len(r.names) for v in rows):
         raise ValueError("a tuple's length differs from its columns'")

@@ -29,12 +29,12 @@ def _words(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Node:
-    kind: str  # term, phrase, and, or, not, none
+    kind: str  # term, phrase, prefix, fuzzy, and, or, not, none
     parts: tuple = ()
 
 
 def parse(query: str) -> Node:
-    """Terms, "phrases", AND, OR, NOT and parentheses; what stands side by side is joined by OR.
+    """Terms, "phrases", t*, t~N, AND, OR, NOT and parentheses; what stands side by side is joined by OR.
 
     NOT excludes from what stands before it. An error of syntax is a
     ValueError; stop words and signs alone match nothing.
@@ -91,6 +91,9 @@ def parse(query: str) -> Node:
             at += 1
             return inner
         words = _words(x)
+        near = re.fullmatch(r"([^\W_]+)(?:(\*)|~(\d?))", x.lower())
+        if near:  # of letters and digits up to the sign; without a number two edits
+            return Node("prefix", (near[1], None)) if near[2] else Node("fuzzy", (near[1], int(near[3] or 2)))
         if x.startswith('"') or len(words) > 1:
             while words and words[0] in STOP:
                 words = words[1:]
@@ -150,14 +153,21 @@ def matches(node: Node, words: Column, joined: Column) -> Column:
 
 
 def bm25(docs: DataFrame, text: str, key: str, query: str, limit: int) -> DataFrame:
-    """(key, score): the `limit` best matches with a score over 0.
+    """(key, score): the `limit` best matches with a score over 0, from a scan of the texts; see inverted for a stored index."""
+    if limit is None or limit < 1:
+        raise ValueError("a text search needs a limit of at least 1")
+    return matching(docs, text, key, query).orderBy(F.col("score").desc(), key).limit(limit)
+
+
+def matching(docs: DataFrame, text: str, key: str, query: str) -> DataFrame:
+    """(key, score) of all matches with a score over 0.
 
     Two scans and one row of statistics (texts, their lengths, each term's
     frequency), which alone is exchanged; postings aren't.
     """
-    if limit is None or limit < 1:
-        raise ValueError("a text search needs a limit of at least 1")
     node = parse(query)
+    if any(k in _kinds(node) for k in ("prefix", "fuzzy")):
+        node = _expanded(node, docs, text)
     wanted = terms(node)
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
@@ -173,7 +183,19 @@ def bm25(docs: DataFrame, text: str, key: str, query: str, limit: int) -> DataFr
         f, d = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return hits.select(key, score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), key).limit(limit)
+    return hits.select(key, score.alias("score")).where("score > 0")
+
+
+def _kinds(node: Node) -> set[str]:
+    return {node.kind}.union(*(_kinds(p) for p in node.parts if isinstance(p, Node)))
+
+
+def _expanded(node: Node, docs: DataFrame, text: str) -> Node:
+    """t* and t~N as the words of docs that they stand for."""
+    if node.kind in ("prefix", "fuzzy"):
+        found = [Node("term", (r.term,)) for r in expand(docs, text, *node.parts).orderBy("term").collect()]  # words of the dictionary that are alike
+        return Node("or", tuple(found)) if found else Node("none")
+    return Node(node.kind, tuple(_expanded(p, docs, text) for p in node.parts)) if node.kind in ("and", "or", "not") else node
 
 
 def postings(docs: DataFrame, text: str, key: str) -> DataFrame:

@@ -114,18 +114,20 @@ def uncovered(index: Index, restrictions: Sequence[Restriction]) -> int | None:
 def best_index(indexes: Iterable[Index], keyspace: str, table: str, target: Sequence[str], restrictions: Sequence[Restriction], allow_filtering: bool = False) -> Index:
     """The serving index that leaves fewest columns uncovered, the newest of equals.
 
-    Uncovered columns need allow_filtering.
+    NotServing where none of the group serves, whether or not it would fit;
+    NoGlobalIndex where some serve and none fits. Uncovered columns need
+    allow_filtering.
     """
     group = [i for i in indexes if (i.keyspace, i.table, i.target) == (keyspace, table, tuple(target))]
     if not group:
         raise NotFound(f"no index on {keyspace}.{table}({', '.join(target)})")
-    fit = [(n, i) for i in group if (n := uncovered(i, restrictions)) is not None]
-    if not fit:
-        raise NoGlobalIndex("only local indexes: an equality on each partition column is needed")
-    ready = [x for x in fit if x[1].status == "SERVING"]
+    ready = [i for i in group if i.status == "SERVING"]
     if not ready:
         raise NotServing("the index isn't serving yet")
-    n, found = min(ready, key=lambda x: (x[0], -x[1].age))
+    fit = [(n, i) for i in ready if (n := uncovered(i, restrictions)) is not None]
+    if not fit:
+        raise NoGlobalIndex("only local indexes: an equality on each partition column is needed")
+    n, found = min(fit, key=lambda x: (x[0], -x[1].age))
     if n and not allow_filtering:
         raise ValueError("the filter isn't covered by the index: allow filtering to run it")
     return found

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from kestrel.functions import quantize
 from kestrel.operators import ann, measures, text
 from kestrel.operators.filters import Restriction, where
+from kestrel.operators.inverted import InvertedIndex
+from kestrel.plans.catalog import Index
+from kestrel.plans.engine import Service
 from kestrel.session import scratch
+from kestrel.sources import datasets
 from kestrel.streaming import merge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,13 +94,20 @@ def _post(spark, sf):
 _add("ann_post_filter", _post, f"{_CORPUS}, r AS (SELECT vec_id, label, {_D['EUCLIDEAN']} AS d FROM e, q ORDER BY d, vec_id, label LIMIT 50) SELECT vec_id, round(d, 6)::DOUBLE AS distance FROM r WHERE label = 2")
 
 
-def _batch(spark, sf):
+def _batch(spark, sf, kind="EUCLIDEAN"):
     e = _v(spark, sf)
-    return ann.batch(e, "v", "vec_id", e.where("label = 1").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id", "qv", 5, "EUCLIDEAN").select("query_id", "rank", "vec_id", F.round("distance", 4).alias("distance"))
+    return ann.batch(e, "v", "vec_id", e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id", "qv", 5, kind).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-_add("ann_batch_topk", _batch, f"""{_CORPUS.replace(", q AS (SELECT v AS q FROM e WHERE vec_id = 0)", "")}, p AS (SELECT a.vec_id AS query_id, e.vec_id, {_D['EUCLIDEAN'].replace('list_zip(v, q)', 'list_zip(e.v, a.v)')} AS d FROM e, e a WHERE a.label = 1),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM p) SELECT query_id, rank, vec_id, round(d, 4)::DOUBLE AS distance FROM r WHERE rank <= 5""")
+def _batch_sql(kind, corpus, limit, digits=True):
+    d = _D[kind].replace("list_zip(v, q)", "list_zip(e.v, a.v)").replace("list_zip(v, v)", "list_zip(e.v, e.v)").replace("list_zip(q, q)", "list_zip(a.v, a.v)")
+    return f"""{corpus}, p AS (SELECT a.vec_id AS query_id, e.vec_id, {d} AS d FROM e, e a WHERE a.vec_id % 50 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM p) SELECT query_id, rank, vec_id, round(d, 6)::DOUBLE AS distance FROM r WHERE rank <= {limit}"""
+
+
+_E = _CORPUS.replace(", q AS (SELECT v AS q FROM e WHERE vec_id = 0)", "")
+for _kind in _D:
+    _add("ann_batch_topk" if _kind == "EUCLIDEAN" else f"ann_batch_{_kind.lower().split('_')[0]}", partial(_batch, kind=_kind), _batch_sql(_kind, _E, 5))
 _add("ann_topk_per_partition", lambda spark, sf: ann.per_partition(_v(spark, sf), "v", ["vec_id"], "label", _q(spark, sf), 3, "EUCLIDEAN").select("label", "rank", "vec_id", F.round("distance", 6).alias("distance")),
      f"{_CORPUS}, p AS (SELECT label, vec_id, {_D['EUCLIDEAN']} AS d FROM e, q), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id)::INT AS rank FROM p) SELECT label, rank, vec_id, round(d, 6)::DOUBLE AS distance FROM r WHERE rank <= 3")
 _add("ann_fetch_rows", lambda spark, sf: ann.search(_v(spark, sf), "v", ["vec_id"], _q(spark, sf), 10, "EUCLIDEAN").join(_t(spark, sf, "embeddings"), "vec_id").select("vec_id", "label"),
@@ -137,28 +148,50 @@ _add("f16_round_trip", lambda spark, sf: _t(spark, sf, "embeddings").select("vec
 _add("bf16_round_trip", lambda spark, sf: _t(spark, sf, "embeddings").select("vec_id", quantize.bf16(F.col("embedding")).alias("v")))
 
 
+_CELLS: dict[tuple[int, str], ann.InvertedFile] = {}
+_PLAIN = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+
+
+def _index(spark, sf):
+    """The inverted file over all rows, built once in a session for each folder, and as queries the rows whose id is divisible by 50."""
+    e, at = _t(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")), (id(spark.sparkContext), sf)
+    if at not in _CELLS:
+        _CELLS[at] = ann.InvertedFile.build(e, "v", "vec_id", scratch(spark, "ivf"), max(16, math.isqrt(e.count())))
+    return e, _CELLS[at], e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+
+
 def _ivf(spark, sf):
-    """Every row is a query."""
-    e = _t(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    index = ann.InvertedFile.build(e, "v", "vec_id", scratch(spark, "ivf"), max(16, math.isqrt(e.count())))
-    return index.search_all(e.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id", "qv", 10)
+    _, index, asked = _index(spark, sf)
+    return index.search_all(asked, "query_id", "qv", 10).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-_add("ann_ivf", _ivf)
+_add("ann_ivf", _ivf, _batch_sql("EUCLIDEAN", _PLAIN, 10))
 _add("index_count", lambda spark, sf: _t(spark, sf, "embeddings").where("embedding is not null").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL")
 _add("partition_sizes", lambda spark, sf: _t(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n")), "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 
 # Text
 
+_BUILT: dict[tuple[int, str], InvertedIndex] = {}
+
+
+def fts(spark, sf):
+    """The stored index of documents, built once in a session for each folder."""
+    at = (id(spark.sparkContext), sf)
+    if at not in _BUILT:
+        _BUILT[at] = InvertedIndex(spark, scratch(spark, "fts"))
+        _BUILT[at].add(_t(spark, sf, "documents"), "text", "doc_id")
+    return _BUILT[at]
+
+
 _TOKENS = rf"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, w, list_filter(w, lambda x: x NOT IN {STOP}) AS kept FROM t)"
-_add("term_document_frequency", lambda spark, sf: text.postings(_t(spark, sf, "documents"), "text", "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")),
+_add("term_document_frequency", lambda spark, sf: fts(spark, sf).document_frequency(),
      f"{_TOKENS}, o AS (SELECT doc_id, unnest(kept) AS term FROM k) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM o GROUP BY term")
 _add("doc_length_stats", lambda spark, sf: _t(spark, sf, "documents").where("text is not null").select(F.size(text.analyzed(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("tokens"), F.max("n").cast("long").alias("longest")),
      f"{_TOKENS} SELECT count(*) AS docs, sum(len(kept))::BIGINT AS tokens, max(len(kept))::BIGINT AS longest FROM k")
 
 
 def _bm25(query, limit=20):
-    return lambda spark, sf: text.bm25(_t(spark, sf, "documents"), "text", "doc_id", query, limit).select("doc_id", F.round("score", 6).alias("score"))
+    return lambda spark, sf: fts(spark, sf).search(query, limit).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def _bm25_sql(words, cond, limit=20):
@@ -177,18 +210,39 @@ for _name, _query, _words, _cond in (
 ):
     _add(f"bm25_{_name}", _bm25(_query), _bm25_sql(_words, _cond))
 _add("prefix_term", lambda spark, sf: text.expand(_t(spark, sf, "documents"), "text", "quel"), f"{_TOKENS}, o AS (SELECT DISTINCT doc_id, unnest(kept) AS term FROM k) SELECT term, count(*) AS n FROM o WHERE starts_with(term, 'quel') GROUP BY term")
-_add("fuzzy_term", lambda spark, sf: text.expand(_t(spark, sf, "documents").where("lang = 'en'"), "text", "that", 1),
-     f"{_TOKENS.replace('WHERE text IS NOT NULL', chr(87) + 'HERE text IS NOT NULL AND lang = ' + repr('en'))}, o AS (SELECT DISTINCT doc_id, unnest(kept) AS term FROM k) SELECT term, count(*) AS n FROM o WHERE levenshtein(term, 'that') <= 1 GROUP BY term")
+_add("fuzzy_term", lambda spark, sf: text.expand(_t(spark, sf, "documents"), "text", "that", 1), f"{_TOKENS}, o AS (SELECT DISTINCT doc_id, unnest(kept) AS term FROM k) SELECT term, count(*) AS n FROM o WHERE levenshtein(term, 'that') <= 1 GROUP BY term")
+_add("bm25_scan", lambda spark, sf: text.bm25(_t(spark, sf, "documents"), "text", "doc_id", "que AND en", 20).select("doc_id", F.round("score", 6).alias("score")), SQL["bm25_and"])
+_add("fts_postings", lambda spark, sf: fts(spark, sf).postings(["que", "that"]).select("term", F.col("key").alias("doc_id"), "tf", "len", F.element_at("positions", 1).alias("first")),
+     f"{_TOKENS} SELECT t.term, doc_id, len(list_filter(kept, lambda x: x = t.term))::INT AS tf, len(kept)::INT AS len, (list_position(w, t.term) - 1)::INT AS first FROM k, (VALUES ('que'), ('that')) t(term) WHERE list_contains(kept, t.term)")
+
+
+def _changed(spark, sf):
+    """The index after every seventh text was deleted and the text of every other eleventh one became another's."""
+    docs = _t(spark, sf, "documents").where("doc_id is not null").select("doc_id", "text")
+    index = InvertedIndex(spark, scratch(spark, "fts"))
+    index.add(docs, "text", "doc_id")
+    index.delete(docs.where("doc_id % 7 = 0"), "doc_id")
+    index.add(docs.where("doc_id % 11 = 3").withColumn("text", F.lit("que nueva")), "text", "doc_id")
+    return index.search("que", 20).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_add("fts_after_changes", _changed, _bm25_sql(["que"], _has("que")).replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'que nueva' ELSE text END AS text FROM documents WHERE doc_id % 7 > 0 OR doc_id % 11 = 3) WHERE text IS NOT NULL"))
 
 
 def _lists(spark, sf):
-    docs = _t(spark, sf, "documents")
-    return tuple(text.ranked(text.bm25(docs, "text", "doc_id", q, 20), "doc_id", F.col("score").desc()) for q in ("que", "en"))
+    """All texts by BM25 with their rank, and as a second list the vectors of the same ids by distance."""
+    a = text.ranked(fts(spark, sf).matches("que").withColumnRenamed("key", "doc_id"), "doc_id", F.col("score").desc())
+    near = ann.scored(_v(spark, sf), "v", ["vec_id"], _q(spark, sf), "EUCLIDEAN").select(F.col("vec_id").alias("doc_id"), (1 / (1 + F.col("distance"))).alias("score"))
+    return a, text.ranked(near, "doc_id", F.col("score").desc())
 
 
-_LISTS = ", ".join(f"{n} AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_bm25_sql([w], _has(w)).replace('round(score, 6)::DOUBLE', 'score')}))" for n, w in (("a", "que"), ("b", "en")))
-_add("hybrid_rrf", lambda spark, sf: text.rank_fusion(*_lists(spark, sf), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score")), f"WITH {_LISTS} SELECT doc_id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 6)::DOUBLE AS score FROM a FULL JOIN b USING (doc_id) ORDER BY coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) DESC, doc_id LIMIT 20")
+_SCORED = _bm25_sql(["que"], _has("que")).replace("round(score, 6)::DOUBLE", "score").replace("ORDER BY score DESC, doc_id LIMIT 20", "")
+_LISTS = f"a AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_SCORED})), b AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_CORPUS} SELECT vec_id AS doc_id, 1 / (1 + {_D['EUCLIDEAN']}) AS score FROM e, q))"
+_RRF = "coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0)"
+_add("hybrid_rrf", lambda spark, sf: text.rank_fusion(*_lists(spark, sf), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score")), f"WITH {_LISTS} SELECT doc_id, round({_RRF}, 6)::DOUBLE AS score FROM a FULL JOIN b USING (doc_id) ORDER BY {_RRF} DESC, doc_id LIMIT 20")
 _add("hybrid_weighted", lambda spark, sf: text.weighted_fusion(*_lists(spark, sf), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score")), f"WITH {_LISTS}, f AS (SELECT doc_id, 0.5::DOUBLE * coalesce(a.score, 0) + 0.5::DOUBLE * coalesce(b.score, 0) AS score FROM a FULL JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20) SELECT doc_id, round(score, 6)::DOUBLE AS score FROM f")
+_add("ann_match_filter", lambda spark, sf: ann.search(_v(spark, sf).join(fts(spark, sf).matches("que").select(F.col("key").alias("vec_id")), "vec_id", "left_semi"), "v", ["vec_id"], _q(spark, sf), 10, "EUCLIDEAN").select("vec_id", F.round("distance", 6).alias("distance")),
+     f"{_CORPUS}, m AS ({_SCORED}), r AS (SELECT vec_id, {_D['EUCLIDEAN']} AS d FROM e, q WHERE vec_id IN (SELECT doc_id FROM m) ORDER BY d, vec_id LIMIT 10) SELECT vec_id, round(d, 6)::DOUBLE AS distance FROM r")
 
 # Changes
 
@@ -220,20 +274,115 @@ _add("change_lookup_join", lambda spark, sf: _t(spark, sf, "orders").select("o_c
      "SELECT o_custkey, c_custkey IS NULL AS removed FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN customer ON o_custkey = c_custkey")
 _add("stream_min_progress", lambda spark, sf: _t(spark, sf, "events").groupBy("event_type").agg(F.max("ts").alias("m")).agg(F.min("m").alias("progress")), "SELECT min(m) AS progress FROM (SELECT max(ts) AS m FROM events GROUP BY event_type)")
 
+
+
+def _log(spark, sf):
+    """events as a change log: their kinds stand for those of changes."""
+    kinds = {"click": "row_insert", "view": "row_update", "purchase": "post_image", "error": "row_delete", "signup": "pre_image"}
+    op = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()), F.lit("range_delete"))
+    return _t(spark, sf, "events").withColumn("op", op).withColumn("write_time", F.when(F.col("event_id") % 3 == 0, F.expr("ts - interval 1 hour"))).withColumn("part", (F.col("value") % 4).cast("int"))
+
+
+_LOG = "WITH log AS (SELECT *, CASE event_type WHEN 'click' THEN 'row_insert' WHEN 'view' THEN 'row_update' WHEN 'purchase' THEN 'post_image' WHEN 'error' THEN 'row_delete' WHEN 'signup' THEN 'pre_image' ELSE 'range_delete' END AS op, CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 1 HOUR END AS write_time, trunc(value % 4)::INT AS part FROM events), ch AS (SELECT *, op = 'row_delete' AS deleted, coalesce(write_time, ts) AS written FROM log WHERE op IN ('row_insert', 'row_update', 'post_image', 'row_delete') AND user_id IS NOT NULL)"
+
+
+def _mapped(spark, sf):
+    return merge.mapped(_log(spark, sf), ["user_id"], "op", "ts", "write_time")
+
+
+def _kept(rows):
+    return merge.latest(rows, ["user_id"], ["value", "part"], "written", "event_id", "deleted", kept=["part"])
+
+
+_CELL = "(SELECT user_id, CASE WHEN NOT gone THEN v END AS {c} FROM (SELECT user_id, {v} AS v, {g} AS gone, row_number() OVER (PARTITION BY user_id ORDER BY written DESC, event_id) AS k FROM ch WHERE written IS NOT NULL AND ({g} OR {v} IS NOT NULL){w}) WHERE k = 1)"
+_STATE = lambda w="": f"(SELECT u.user_id, a.value, b.part FROM (SELECT DISTINCT user_id FROM ch WHERE written IS NOT NULL{w}) u LEFT JOIN {_CELL.format(c='value', v='value', g='deleted', w=w)} a USING (user_id) LEFT JOIN {_CELL.format(c='part', v='part', g='false', w=w)} b USING (user_id))"
+_add("cdc_op_mapping", lambda spark, sf: _mapped(spark, sf).select("event_id", "deleted", "written"), f"{_LOG} SELECT event_id, deleted, written FROM ch")
+_add("cdc_delete_keeps_partition", lambda spark, sf: _kept(_mapped(spark, sf)).select("user_id", "value", "part"), f"{_LOG} SELECT user_id, value, part FROM {_STATE()}")
+_add("lww_partition_move", lambda spark, sf: merge.moves(_kept(_mapped(spark, sf).where("written < timestamp'2024-01-15'")), _kept(_mapped(spark, sf)), ["user_id"], "value", "part"),
+     f"""{_LOG}, a AS {_STATE(" AND written < TIMESTAMP '2024-01-15'")}, b AS {_STATE()}, j AS (SELECT user_id, a.value AS x, b.value AS y, a.part AS p, b.part AS q FROM a FULL JOIN b USING (user_id)),
+     o AS (SELECT user_id, CASE WHEN x IS NOT NULL AND p IS NOT NULL AND y IS NOT NULL AND q IS NOT NULL AND p <> q THEN 'move' WHEN x IS NOT NULL AND p IS NOT NULL AND y IS NOT NULL AND q IS NOT NULL AND x <> y THEN 'update'
+     WHEN x IS NOT NULL AND p IS NOT NULL AND (y IS NULL OR q IS NULL) THEN 'remove' WHEN (x IS NULL OR p IS NULL) AND y IS NOT NULL AND q IS NOT NULL THEN 'insert' END AS op, p AS "from", q AS "to" FROM j) SELECT * FROM o WHERE op IS NOT NULL""")
+_add("local_index_rows", lambda spark, sf: _kept(_mapped(spark, sf)).where("value is not null and part is not null").groupBy("part").agg(F.count("*").alias("n")), f"{_LOG} SELECT part, count(*) AS n FROM {_STATE()} WHERE value IS NOT NULL AND part IS NOT NULL GROUP BY part")
+
+
+def _both(spark, sf):
+    """A scan of customer with the changes of events: a change is newer than what was scanned."""
+    scan = merge.scanned(_t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").cast("double").alias("value")), ["value"])
+    ticks = F.unix_micros(F.col("written").cast("timestamp_ltz"))
+    changes = _mapped(spark, sf).select(F.col("user_id").cast("long").alias("user_id"), "value", F.lit(None).cast("long").alias("value__wt"), ticks.alias("ts"), F.col("event_id").alias("tie"), "deleted")
+    rows = scan.select("user_id", "value", "value__wt", "ts", "tie", "deleted").unionByName(changes)
+    return merge.latest(rows, ["user_id"], ["value"], "ts", "tie", "deleted", times={"value": "value__wt"}).select("user_id", "value")
+
+
+_add("scan_and_changes", _both, f"{_LOG}, r AS (SELECT c_custkey::BIGINT AS user_id, c_acctbal::DOUBLE AS value, false AS deleted, NULL::TIMESTAMP AS written, -1 AS event_id FROM customer UNION ALL SELECT user_id, value, deleted, written, event_id FROM ch WHERE written IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY written DESC NULLS LAST, event_id) AS k FROM r WHERE deleted OR value IS NOT NULL), u AS (SELECT DISTINCT user_id FROM r) SELECT u.user_id, CASE WHEN NOT deleted THEN value END AS value FROM u LEFT JOIN k ON k.user_id = u.user_id AND k.k = 1")
+_NOW = "2024-02-01 00:00:00"
+_add("cdc_lag_histogram", lambda spark, sf: measures.histogram(merge.lag(_t(spark, sf, "events"), "ts", F.lit(_NOW).cast("timestamp_ntz")).withColumn("lag", F.col("lag") / 86400), "lag", measures.LAG),
+     "SELECT CASE " + " ".join(f"WHEN greatest(epoch(TIMESTAMP '{_NOW}') - epoch(ts), 0) / 86400 <= {b} THEN {i}" for i, b in enumerate(measures.LAG)) + f" ELSE {len(measures.LAG)} END AS bucket, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
+_add("change_reread", lambda spark, sf: merge.reread(_mapped(spark, sf).select("event_id", F.col("user_id").cast("long").alias("c_custkey"), "deleted"), _t(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name").where("c_custkey % 2 = 0"), ["c_custkey"]).select("event_id", "deleted", "c_name"),
+     f"{_LOG} SELECT event_id, deleted OR c_custkey IS NULL AS deleted, c_name FROM ch LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = user_id")
+
+# Requests
+
+
+def _service(spark, sf):
+    s = Service(spark)
+    s.table("ks", "emb", _v(spark, sf))
+    s.table("ks", "docs", _t(spark, sf, "documents"))
+    s.create(Index("ks", "every", "emb", ("vec_id",), ("v",), filtering=("label",), metric="EUCLIDEAN", dimension=64, version="1b4e28ba-2fa1-11d2-883f-0016d3cca427"))
+    s.create(Index("ks", "by_label", "emb", ("vec_id",), ("v",), partition=("label",), metric="EUCLIDEAN", dimension=64, version="2b4e28ba-2fa1-11d2-883f-0016d3cca427"))
+    s.create(Index("ks", "texts", "docs", ("doc_id",), ("text",), kind="fulltext"), fts(spark, sf))
+    return s
+
+
+def _asked(filters, **more):
+    return lambda spark, sf: _service(spark, sf).ann("ks", "every", _q(spark, sf), 10, filters, **more).select("vec_id", F.round("distance", 6).alias("distance"), F.round("similarity_score", 6).alias("similarity_score"))
+
+
+_add("route_local_partition", _asked([{"type": "==", "lhs": "label", "rhs": 5}]), _top_sql(cond="label = 5"))
+_add("route_local_residual", _asked([{"type": "==", "lhs": "label", "rhs": 5}, {"type": ">", "lhs": "vec_id", "rhs": 50}], allow_filtering=True), _top_sql(cond="label = 5 AND vec_id > 50"))
+_add("route_global_filter", _asked([{"type": "IN", "lhs": "vec_id", "rhs": [5, 7, 90]}], allow_filtering=True), _top_sql(cond="vec_id IN (5, 7, 90)"))
+_add("route_in_on_partition_is_empty", _asked([{"type": "IN", "lhs": "label", "rhs": [5]}]), _top_sql(cond="false"))
+_add("index_status", lambda spark, sf: _service(spark, sf).status("ks", "by_label"), "SELECT 'SERVING' AS status, count(*) AS count, 100.0::DOUBLE AS build_progress FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL")
+_add("list_indexes_union", lambda spark, sf: _service(spark, sf).listed(), "SELECT * FROM (VALUES ('ks', 'every'), ('ks', 'by_label'), ('ks', 'texts')) x(keyspace, \"index\")")
+_add("service_bm25", lambda spark, sf: _service(spark, sf).bm25("ks", "texts", "que NOT le", 20).select("doc_id", F.round("score", 6).alias("score")), SQL["bm25_not"])
+_add("build_progress", lambda spark, sf: measures.progress(_t(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("length"), (F.col("o_orderstatus") == "F").alias("done")), "length", "done").select(F.round("build_progress", 6).alias("build_progress")),
+     "SELECT round(100 * sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey::DOUBLE ELSE 0 END) / sum(o_orderkey::DOUBLE), 6)::DOUBLE AS build_progress FROM orders")
+_add("dirty_indexes", lambda spark, sf: _t(spark, sf, "events").select("event_type").distinct(), "SELECT DISTINCT event_type FROM events")
+
 # Measures
 
 
-def _recall(spark, sf):
-    e, _ = _raw(spark, sf)
-    near = lambda col: F.collect_list(F.struct("rank", "vec_id"))  # noqa: E731, ARG005
-    q = e.where("label = 2").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    truth = ann.batch(e, "v", "vec_id", q, "query_id", "qv", 10, "EUCLIDEAN").groupBy("query_id").agg(F.transform(F.array_sort(near("t")), lambda x: x["vec_id"]).alias("t"))
-    found = ann.batch(e.where("vec_id % 2 = 0"), "v", "vec_id", q, "query_id", "qv", 10, "EUCLIDEAN").groupBy("query_id").agg(F.transform(F.array_sort(near("f")), lambda x: x["vec_id"]).alias("f"))
-    return truth.join(found, "query_id").select("query_id", F.round(measures.recall(F.col("f"), F.col("t"), 10), 6).alias("recall"))
+def _recall(spark, sf, probes=4):
+    """Of an approximate search: the nearest cells of the inverted file alone."""
+    e, index, asked = _index(spark, sf)
+    truth = ann.batch(e, "v", "vec_id", asked, "query_id", "qv", 10, "EUCLIDEAN")
+    return measures.found_share(index.near(asked, "query_id", "qv", 10, max(probes, len(index.centres) * 2 // 3)), truth, "query_id", "vec_id")
+
+
+_add("recall_at_k", _recall)
+_add("recall_summary", lambda spark, sf: _recall(spark, sf).agg(F.count("*").alias("queries"), F.round(F.min("recall"), 6).alias("recall_min"), F.round(F.avg("recall"), 6).alias("recall_avg"), F.round(F.max("recall"), 6).alias("recall_max")))
+
+
+def _bucketed(spark, sf):
+    return datasets.bucketed(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("id")))
+
+
+_K, _CYCLE = datasets.cycle()
+_DEALT = f"(SELECT id, ({_CYCLE})[(CASE WHEN place < {len(_CYCLE)} THEN place ELSE {_K} + (place - {_K}) % {len(_CYCLE) - _K} END) + 1]::INT AS bucket FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings))"
+_add("buckets", _bucketed, f"SELECT id, bucket FROM {_DEALT} WHERE bucket >= 0")
+_add("bucket_shares", lambda spark, sf: _bucketed(spark, sf).groupBy("bucket").agg(F.count("*").alias("n")), f"SELECT bucket, count(*) AS n FROM {_DEALT} WHERE bucket >= 0 GROUP BY bucket")
+
+
+def _swept(spark, sf):
+    """The nearest rows of one query in each bucket."""
+    rows = _v(spark, sf).join(_bucketed(spark, sf).withColumnRenamed("id", "vec_id"), "vec_id")
+    return ann.per_partition(rows, "v", ["vec_id"], "bucket", _q(spark, sf), 3, "EUCLIDEAN").select("bucket", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-_PAIRS = f"SELECT a.vec_id AS query_id, e.vec_id, {_D['EUCLIDEAN'].replace('list_zip(v, q)', 'list_zip(e.v, a.v)')} AS d FROM e, e a WHERE a.label = 2"
-_add("recall_at_k", _recall, f"WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS ({_PAIRS}), t AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM p) WHERE r <= 10), f AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM p WHERE vec_id % 2 = 0) WHERE r <= 10) SELECT t.query_id, round(count(f.vec_id) / 10.0::DOUBLE, 6)::DOUBLE AS recall FROM t LEFT JOIN f USING (query_id, vec_id) GROUP BY t.query_id")
+_add("bucket_sweep", _swept, f"{_CORPUS}, b AS {_DEALT}, p AS (SELECT bucket, vec_id, {_D['EUCLIDEAN']} AS d FROM e, q, b WHERE b.id = vec_id AND bucket >= 0), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY d, vec_id)::INT AS rank FROM p) SELECT bucket, rank, vec_id, round(d, 6)::DOUBLE AS distance FROM r WHERE rank <= 3")
+_add("search_report", lambda spark, sf: measures.searches(_t(spark, sf, "events").where("value is not null"), "value", "value", 60.0, ["event_type"]).select("event_type", "queries", F.round("qps", 6).alias("qps"), "latency_min", "latency_max", F.round("recall_avg", 6).alias("recall_avg")),
+     "SELECT event_type, count(*) AS queries, round(count(*) / 60.0::DOUBLE, 6)::DOUBLE AS qps, min(value) AS latency_min, max(value) AS latency_max, round(avg(value), 6)::DOUBLE AS recall_avg FROM events WHERE value IS NOT NULL GROUP BY event_type")
+_add("latency_bins", lambda spark, sf: measures.linear_histogram(_t(spark, sf, "events"), "value", 1.0, 100.0), "SELECT least(greatest(floor((value - 1.0) * 10000 / 99.0), 0), 9999)::INT AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
 
 
 def _ranking(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="kestrel-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -60,6 +61,44 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _fs(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_json(spark: SparkSession, folder: str, version: int, body: dict) -> None:
+    """Commit body as a version: written beside and renamed into place; FileExistsError if another one was first."""
+    _, fs = _fs(spark, folder)
+    draft, target = (_fs(spark, f"{folder}/{name}")[0] for name in (f".{uuid.uuid4().hex}.tmp", f"{version:010d}.json"))
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(body).encode()))
+    out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    none = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+    try:
+        jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(target), none)
+    except Exception as e:
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in str(e):
+            raise FileExistsError(f"version {version} of {folder}") from e
+        raise
+
+
+def latest_json(spark: SparkSession, folder: str) -> dict | None:
+    """The last version that was committed; None if there is none."""
+    path, fs = _fs(spark, folder)
+    if not fs.exists(path):
+        return None
+    names = sorted(n for n in (x.getPath().getName() for x in fs.listStatus(path)) if n.endswith(".json") and not n.startswith("."))
+    if not names:
+        return None
+    stream = fs.open(_fs(spark, f"{folder}/{names[-1]}")[0])
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def table_bytes(df: DataFrame) -> int:
     """Size of a written table, as its files say."""
     spark = df.sparkSession

