@@ -74,6 +74,14 @@ def parse_dimension(column_type: str) -> int | None:
     return int(m[1]) if m and int(m[1]) > 0 else None
 
 
+def dimension_of(column_type: str | None, options: dict[str, str]) -> int | None:
+    """The dimension by the column's type, or by the option `dimensions` where the type tells none, as of binary cells."""
+    found = parse_dimension(column_type or "")
+    if found is None and str(options.get("dimensions", "")).isdigit():
+        found = int(options["dimensions"]) or None
+    return found
+
+
 def parse_options(options: dict[str, str]) -> dict[str, Any]:
     """Options with defaults for what is absent or malformed."""
 
@@ -153,10 +161,18 @@ def coerce(value: Any, kind: str) -> Any:
         if not isinstance(value, bool):
             raise wrong
         return value
-    if kind == "string":
-        if not isinstance(value, str):
+    if kind in ("string", "ascii"):
+        if not isinstance(value, str) or (kind == "ascii" and not value.isascii()):
             raise wrong
         return value
+    if kind in ("uuid", "timeuuid"):
+        try:
+            found = uuid.UUID(value) if isinstance(value, str) else None
+        except ValueError:
+            found = None
+        if found is None or (kind == "timeuuid" and found.version != 1):
+            raise wrong
+        return str(found)
     if kind.startswith("decimal"):
         if isinstance(value, bool):
             raise wrong
@@ -176,6 +192,8 @@ def coerce(value: Any, kind: str) -> Any:
             return datetime.fromisoformat(value)
         if kind == "time":
             h, m, s = value.removeprefix("T").split(":")
+            if not (0 <= int(h) < 24 and 0 <= int(m) < 60 and 0 <= Decimal(s) < 60):
+                raise wrong
             return (int(h) * 3600 + int(m) * 60) * 10**9 + int(Decimal(s) * 10**9)
         if kind == "binary" and value.startswith("0x"):
             return bytes.fromhex(value[2:])
@@ -184,8 +202,12 @@ def coerce(value: Any, kind: str) -> Any:
     raise wrong
 
 
-def to_json(value: Any) -> Any:
-    """A key's value as JSON has it."""
+def to_json(value: Any, kind: str | None = None) -> Any:
+    """A key's value as JSON has it; a time of day is told from a number by its kind alone."""
+    if kind == "time" and isinstance(value, int):
+        seconds, nanos = divmod(value, 10**9)
+        text = f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
+        return f"{text}.{nanos:09d}".rstrip("0") if nanos else text
     if isinstance(value, bool | int | str) or value is None:
         return value
     if isinstance(value, float):

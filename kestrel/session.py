@@ -7,6 +7,9 @@ import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/kestrel/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, or in that of the work at hand."""
+    return f"{_folder.get() or f'{shared_dir(spark)}/kestrel'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def work(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside are deleted at the end; what is returned from there must be written elsewhere before."""
+    path = scratch(spark, "work")
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        drop_path(spark, path)
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:

@@ -17,7 +17,7 @@ from kestrel.operators.inverted import InvertedIndex
 from kestrel.plans import catalog
 from kestrel.plans.catalog import Index, NoGlobalIndex, NotFound, NotServing
 from kestrel.plans.engine import FilteringNeeded, LocalText, Service, columns_of, exposition
-from kestrel.sources import datasets
+from kestrel.sources import datasets, sinks
 from kestrel.streaming import merge
 
 QUERIES = ("fox", "the fox", "fox AND meadow", "fox OR turtle", "fox turtle", "fox NOT meadow", '"quick brown fox"', '"jumps over the lazy"', "(fox OR turtle) AND meadow", "the", "zebra", "NOT fox", "", '"fox fox"', "fox AND NOT quick")
@@ -346,3 +346,36 @@ def test_the_library_works_without_the_subpackage(tmp_path):
                 (copy / "kestrel/llm").mkdir()
         out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') or k == 'pipeline' for k in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"], cwd=copy, capture_output=True, text=True, check=True)
         assert out.stdout.split()[1:] == ["False", "True"]
+
+
+def test_bulk_writes_and_columnar_results(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v string")
+    table = sinks.Table(spark, f"file://{tmp_path}/t", ["k"])
+    assert table.delete(rows((1, "a"))) == 0
+    table.upload(rows((1, "a"), (2, "b"), (None, "c")))
+    table.upload(rows((3, "c")))
+    assert table.upload(rows((2, "B"), (4, "d")), replace=True) == 3
+    assert table.delete(rows((1, "")).select("k")) == 4
+    assert {tuple(r) for r in sinks.Table(spark, f"file://{tmp_path}/t", ["k"]).read().collect()} == {(2, "B"), (3, "c"), (4, "d")}
+    one = sinks.columnar(spark.createDataFrame([(2, 7, 0.5), (1, 9, 0.25)], "rank int, k int, d double"), ["k"], "d").head()
+    assert (one.k, one.d) == ([9, 7], [0.25, 0.5])
+
+
+def test_values_of_further_types():
+    assert catalog.coerce("1B4E28BA-2FA1-11D2-883F-0016D3CCA427", "timeuuid") == "1b4e28ba-2fa1-11d2-883f-0016d3cca427"
+    assert catalog.to_json(catalog.coerce("T08:12:54.2137", "time"), "time") == "08:12:54.2137" and catalog.to_json(0, "time") == "00:00:00" and catalog.coerce("abc", "ascii") == "abc"
+    for value, kind in (("1b4e28ba-2fa1-41d2-883f-0016d3cca427", "timeuuid"), ("x", "uuid"), ("é", "ascii"), ("25:00:00", "time"), (5, "uuid")):
+        with pytest.raises(ValueError):
+            catalog.coerce(value, kind)
+    assert (catalog.dimension_of("vector<float, 3>", {}), catalog.dimension_of("blob", {"dimensions": "7"}), catalog.dimension_of(None, {"dimensions": "x"})) == (3, 7, None)
+
+
+def test_tables_of_a_piece_of_work_are_deleted(spark, tmp_path):
+    from kestrel import session
+
+    with session.work(spark):
+        path = session.scratch(spark, "x")
+        session.cut(spark.range(3), "y").write.parquet(f"{tmp_path}/out")
+        folder = Path(path.removeprefix("file://")).parent
+        assert folder.exists()
+    assert not folder.exists() and spark.read.parquet(f"{tmp_path}/out").count() == 3
