@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.llm import bpe, decontaminate, neardup, pii, quality
 from kestrel.llm.queries import PII_KEY
-from kestrel.session import scratch
+from kestrel.session import drop_path, scratch, work
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents; each stage's rows are written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows over documents; each stage's rows are written in the shared folder and read again.
+
+    Documents with a null or blank text go at the first stage; a null doc_id,
+    language or source stays one. Of repeated rows, near copies and ties the
+    near-duplicate stage keeps one. Very long texts are read whole by each
+    stage. An empty table gives an empty one, and further columns, whatever
+    their names, go along as far as the last stage. What a stage makes for
+    itself, and its input once the next is written, is deleted.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with work(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
