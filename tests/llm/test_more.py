@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -262,3 +263,70 @@ def test_vacuum_spares_what_is_being_written(spark, tmp_path):
     n = len(list((tmp_path / "s/shards").rglob("part-*")))
     assert store.vacuum() == 1 and len(list((tmp_path / "s/shards").rglob("part-*"))) == n  # an older manifest alone
     assert store.vacuum(dead=0) > 0 and store.read().count() == 2
+
+
+def test_tokenize_and_detokenize_equal_the_plain_encoding(spark):
+    texts = [None, "", "a", "two words\n", "日本語 текст 12", prose(random.Random(3), 9000), "same", "same", "<|endoftext|>"]
+    docs, enc = table(spark, texts, [0, 1, 2, 3, 4, 5, 6, 6, None]), bpe.encoding(bpe.default_ranks())
+    made = bpe.tokenize(docs)
+    want = sorted((i, None if t is None else tuple(enc.encode_ordinary(t)), 0 if t is None else len(enc.encode_ordinary(t)), None if t is None else len(t.encode())) for i, t in zip((0, 1, 2, 3, 4, 5, 6, 6, -1), texts, strict=True))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, None if r.tokens is None else tuple(r.tokens), r.n_tokens, r.n_bytes) for r in made.collect()) == want
+    assert made.where("exact").count() == 8
+    raw = sorted(((-1 if r.doc_id is None else r.doc_id, None if r.raw is None else bytes(r.raw)) for r in bpe.detokenize(made).collect()), key=str)
+    assert raw == sorted(((i, None if t is None else t.encode()) for i, t in zip((0, 1, 2, 3, 4, 5, 6, 6, -1), texts, strict=True)), key=str)
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """Each stage in plain Python or SQL, one after another."""
+    import corpus_pipeline
+
+    rng = random.Random(77)
+    items = [prose(rng, 25) for _ in range(6)]
+    texts = [prose(rng, rng.randrange(60, 140)) for _ in range(90)]
+    for i in range(30):
+        w = texts[i].split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice(("changed", "word"))
+        texts.append(" ".join(w))
+    for i in range(12):
+        w = prose(rng, 80).split()
+        texts.append(" ".join([*w[:40], items[i % 6], *w[40:]]))
+    texts += [f"{prose(rng, 50)} write to {a}@{b}.com or Mrs. Anna Berg {prose(rng, 30)}" for a in "abc" for b in "xyz"]
+    texts += ["#$% " * 60, "AB CD EF " * 40, "the same words again " * 50, None, "", texts[0], texts[95]]
+    rows = [(i, t, rng.choice(["en", "de", None]), "web", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    kept = sorted(r[0] for r in con.execute(f"SELECT doc_id FROM ({quality.oracle_sql()}) WHERE keep").fetchall())
+    assert 100 < len(kept) < len(texts) - 4
+    sets = {i: {tuple(texts[i].split()[k : k + 3]) for k in range(len(texts[i].split()) - 2)} for i in kept}
+    root = {i: i for i in kept}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in kept:
+        for b in kept:
+            if a < b and len(sets[a] & sets[b]) >= neardup.THRESHOLD * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    kept = [i for i in kept if find(i) == i]
+    built = decontaminate.Items.of(list(range(6)), items)
+    plain = lambda i: decontaminate.normalized(pa.array([texts[i]]))[0].tobytes().decode()
+    kept = [i for i in kept if all(decontaminate.nearest(t, plain(i), int(m)) is None for t, m in zip(built.texts, built.most, strict=True))]
+    tries = plain_surrogates([texts[i] for i in kept], corpus_pipeline.PII_KEY.encode())
+    enc = bpe.encoding(bpe.default_ranks())
+    want = {i: enc.encode_ordinary(pii.replace(texts[i], corpus_pipeline.PII_KEY.encode(), lambda k, n: tries[k, n])[0]) for i in kept}
+    got = {r.doc_id: r.tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and got == want and len(tries) >= 10 and len(want) < 110
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    table(spark, ["x"]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
