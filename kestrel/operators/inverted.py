@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ def _part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
 def words_of(node: Node) -> list[str]:
     """Every term whose postings a query needs, those it excludes too."""
     if node.kind == "none":
@@ -128,7 +133,7 @@ class InvertedIndex:
         state = self.state()
         rows = self._read(state, "postings", "term string, key KEY, tf int, len int, positions array<int>, seq int, part int")
         if words is not None:
-            parts = sorted({r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(_part(F.col("w"), self.parts)).collect()}) if words else [-1]
+            parts = sorted({_signed(xxhash.xxh64_intdigest(w.encode(), 42)) % self.parts for w in words}) or [-1]  # as Spark's function has it
             rows = rows.where(F.col("part").isin(parts) & F.col("term").isin(list(words)))
         return self._hidden(rows, state).drop("seq", "part")
 

@@ -379,3 +379,10 @@ def test_tables_of_a_piece_of_work_are_deleted(spark, tmp_path):
         folder = Path(path.removeprefix("file://")).parent
         assert folder.exists()
     assert not folder.exists() and spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_parts_of_terms_are_those_of_the_write(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)] + ["é", "日本語", "a" * 100]
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", parts=7)
+    index.add(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "pk int, content string"), "content", "pk")
+    assert {r.term for r in index.postings(words).collect()} == set(words) and index.postings(["é"]).count() == 1
