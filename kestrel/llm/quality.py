@@ -113,10 +113,14 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns.
 
     Nulls, blanks, ties, repeated rows, very long texts and empty tables are
-    treated as there; columns may have any names.
+    treated as there; columns may have any names. Texts are measured once:
+    rows go through a table with their measures.
     """
     q, t, keep = fresh(docs.columns, "q", "t", "keep")
-    return _judged(_measured(docs, q), sketches(docs), q, t, keep).where(F.col(keep)).select(*own(docs))
+    made = _measured(docs, q)
+    rows = cut(made.toDF(*(f"c{i}" for i in range(len(made.columns)))), "measured").toDF(*made.columns)
+    sketch = _sketched(rows.select(rows["lang"].alias("lang"), rows["source"].alias("source"), F.col(q).alias("q")))
+    return _judged(rows, sketch, q, t, keep).where(F.col(keep)).select(*own(docs))
 
 
 def _sql_measures() -> str:
