@@ -245,7 +245,8 @@ class InvertedFile:
                     np.add.at(total, near, x)
                     n += np.bincount(near, minlength=len(centres))
                 at = np.flatnonzero(n)
-                yield pd.DataFrame({"cell": at, "n": n[at], "total": list(total[at])})
+                if len(at):  # a task may have no rows, and pandas no type for an empty column of lists
+                    yield pd.DataFrame({"cell": at, "n": n[at], "total": list(total[at])})
 
             every = rows.mapInPandas(sums, "cell long, n double, total array<double>").groupBy("cell").agg(F.sum("n").alias("n"), *(F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(centres.shape[1])))
             centres = centres.copy()

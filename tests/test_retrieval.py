@@ -119,6 +119,19 @@ def test_registered_ivf_finds_every_neighbour(spark, tmp_path):
         assert [got[q][k][1] for k in range(1, 11)] == pytest.approx(d[q, near[q]].tolist(), abs=1e-6)
 
 
+def test_an_index_is_built_from_tasks_without_rows(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 4))
+    rows = spark.sparkContext.parallelize([(i, [float(a) for a in v]) for i, v in enumerate(x)], 45)  # a third has none
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = ann.InvertedFile.build(df, "v", "id", str(tmp_path / "ivf"), 3)
+    asked = df.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    got = {(r.q, r["rank"]): r.id for r in index.search_all(asked, "q", "qv", 4).collect()}
+    for i in (0, 10, 20):
+        assert [got[i, k + 1] for k in range(4)] == list(np.argsort(((x - x[i]) ** 2).sum(1))[:4])
+    assert index.near(asked, "q", "qv", 4, 3).count() == 12
+
+
 def test_quantization(spark):
     q = np.array([0.5, 0.3, 0.7])
     rows = [(i, [float(v) for v in q + i * 0.001 * np.array([2, 4, 8])]) for i in range(500)]
