@@ -2,18 +2,85 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from kestrel.operators.text import B, K1, STOP, Node, parse, terms, tokens
 from kestrel.session import latest_json, write_json
 
 #: Parts that terms are dealt to by hash; a search reads one for each of its terms.
 PARTS = 64
+#: Tokens whose postings are put together at once, and signs of text whose postings are sorted by one task.
+TOKENS, SIGNS = 2_000_000, 64_000_000
+#: A block of one term's postings; `at` says where each one's positions begin.
+BLOCK = "term string, keys array<KEY>, tfs array<int>, lens array<int>, at array<int>, positions array<int>"
+
+
+def _block(term: np.ndarray, words: pa.Array, keys: pa.Array, tf: np.ndarray, size: np.ndarray, positions: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """Blocks of postings that stand together by term; term has a number in words for each posting."""
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    rows, begin = np.r_[first, len(term)].astype(np.int32), np.r_[0, np.cumsum(tf)].astype(np.int32)
+    at = begin[:-1] - np.repeat(begin[first], np.diff(rows))
+    lists = lambda values, offsets=rows: pa.ListArray.from_arrays(pa.array(offsets), values)
+    columns = [words.take(pa.array(term[first])), lists(keys), *(lists(pa.array(x.astype(np.int32))) for x in (tf, size, at)), lists(pa.array(positions.astype(np.int32)), begin[rows])]
+    return pa.RecordBatch.from_arrays(columns, schema.names[: len(columns)])
+
+
+def _blocks(schema: pa.Schema, salts: int):
+    """A function of batches (key, tokens) that gives blocks with a number below `salts`, put together from at most TOKENS tokens or one text."""
+
+    def run(batches):
+        salt = TaskContext.get().partitionId()
+        for batch in batches:
+            ends = np.r_[0, np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))]
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + TOKENS, "right")) - 1)
+                keys, sizes = batch.column(0).slice(a, b - a), np.diff(ends[a : b + 1])
+                every = batch.column(1).slice(a, b - a).flatten().dictionary_encode()
+                a = b
+                words = every.dictionary
+                kept = ~pc.is_in(words, value_set=pa.array(STOP)).to_numpy(zero_copy_only=False)
+                code, doc = every.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+                spot = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                use = kept[code] if len(code) else np.zeros(0, bool)
+                code, doc, spot = code[use], doc[use], spot[use]
+                if not len(code):
+                    continue
+                size = np.bincount(doc, minlength=len(sizes))
+                order = np.argsort(code, kind="stable")
+                code, doc, spot = code[order], doc[order], spot[order]
+                first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])
+                doc = doc[first]
+                made = _block(code[first], words, keys.take(pa.array(doc)), np.diff(np.r_[first, len(code)]), size[doc], spot, schema)
+                salt += 1
+                yield pa.RecordBatch.from_arrays([*made.columns, pa.array(np.full(made.num_rows, salt % salts, np.int32))], schema.names).cast(schema)
+
+    return run
+
+
+def _repacked(schema: pa.Schema):
+    """A function of batches of postings (term, key, tf, len, positions), sorted by term, that gives blocks."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                every = batch.column(0).dictionary_encode()
+                tf, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                yield _block(every.indices.to_numpy(), every.dictionary, batch.column(1), tf, size, batch.column(4).flatten().to_numpy(zero_copy_only=False), schema).cast(schema)
+
+    return run
 
 
 def _part(term: Column, parts: int) -> Column:
@@ -34,7 +101,7 @@ def words_of(node: Node) -> list[str]:
 
 
 class InvertedIndex:
-    """Postings (term, key, tf, len, positions, seq) in folders by a hash of the term, sorted by term within a file.
+    """Postings (term, key, tf, len, positions, seq) in folders by a hash of the term, blocks of many in a row, sorted by term within a file.
 
     Each commit adds a folder of postings, a folder of its documents' lengths
     and one of deleted keys, and becomes visible when its manifest is renamed
@@ -63,8 +130,9 @@ class InvertedIndex:
     def commit(self, added: DataFrame | None, text: str, key: str, deleted: DataFrame | None = None) -> int:
         """Add documents and take away those with the keys of `deleted`, at once; the new version.
 
-        A text is tokenized once; its postings are shuffled by their part of
-        the terms, with no sort over the whole.
+        Texts aren't shuffled, those apart whose key is there twice (the
+        greatest stays). Their postings are, as blocks, to tasks whose number
+        grows with the texts, so that each sorts what its memory holds.
         """
         state, name = self.state(), f"c{uuid.uuid4().hex}"
         seq = state["version"] + 1
@@ -72,15 +140,22 @@ class InvertedIndex:
         kind = state["kind"] or some.schema[key].dataType.simpleString()
         gone = []
         if added is not None:
-            docs = added.where(F.col(text).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).alias("key"), tokens(F.col(text)).alias("all"))
-            docs = docs.withColumn("kept", F.filter(F.transform("all", lambda x, i: F.struct(x.alias("term"), i.alias("pos"))), lambda x: ~x["term"].isin(*STOP)))
-            one = docs.select("key", F.size("kept").alias("len"), F.explode("kept").alias("x")).groupBy("key", "len", F.col("x.term").alias("term")).agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("x.pos")).alias("positions"))
-            made = one.withColumn("seq", F.lit(seq)).withColumn("part", _part(F.col("term"), self.parts))
-            made.repartition("part").sortWithinPartitions("part", "term", "key").write.option("compression", "zstd").partitionBy("part").parquet(self._folder("postings", name))
-            docs.select("key", F.size("kept").alias("len"), F.lit(seq).alias("seq")).write.option("compression", "zstd").parquet(self._folder("documents", name))
+            docs = added.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("key"), F.col(text).alias("text"))
+            twice = docs.groupBy("key").count().where("count > 1").select("key")
+            if not twice.isEmpty():
+                docs = docs.join(twice, "key", "left_anti").union(docs.join(twice, "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")))
+            signs = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
+            tasks = max(1, math.ceil(signs / SIGNS), min(self.spark.sparkContext.defaultParallelism, self.parts, math.ceil(signs / (SIGNS // 8))))
+            salts = math.ceil(tasks / self.parts)
+            tasks = self.parts * salts if salts > 1 else tasks
+            schema = _parse_datatype_string(f"{BLOCK}, salt int".replace("KEY", kind))
+            made = docs.select("key", tokens(F.col("text")).alias("all")).mapInArrow(_blocks(to_arrow_schema(schema), salts), schema).withColumn("part", _part(F.col("term"), self.parts))
+            made = made.repartitionById(tasks, F.pmod(F.col("part") * salts + F.col("salt"), F.lit(tasks)).cast("int")).drop("salt").withColumn("seq", F.lit(seq))
+            made.sortWithinPartitions("part", "term").write.option("compression", "zstd").partitionBy("part").parquet(self._folder("postings", name))
+            docs.select("key", F.size(F.filter(tokens(F.col("text")), lambda x: ~x.isin(*STOP))).alias("len"), F.lit(seq).alias("seq")).write.option("compression", "zstd").parquet(self._folder("documents", name))
             gone.append(added.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("key")))
         else:
-            self.spark.createDataFrame([], f"term string, key {kind}, tf int, len int, positions array<int>, seq int, part int").write.partitionBy("part").parquet(self._folder("postings", name))
+            self.spark.createDataFrame([], f"{BLOCK}, seq int, part int".replace("KEY", kind)).write.partitionBy("part").parquet(self._folder("postings", name))
             self.spark.createDataFrame([], f"key {kind}, len int, seq int").write.parquet(self._folder("documents", name))
         if deleted is not None:
             gone.append(deleted.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("key")))
@@ -108,8 +183,9 @@ class InvertedIndex:
         seq = state["version"] + 1
         if len(state["commits"]) < 2:
             return state["version"]
-        rows = self.postings().withColumn("seq", F.lit(seq)).withColumn("part", _part(F.col("term"), self.parts))
-        rows.repartition("part").sortWithinPartitions("part", "term", "key").write.option("compression", "zstd").partitionBy("part").parquet(self._folder("postings", name))
+        schema = _parse_datatype_string(BLOCK.replace("KEY", state["kind"]))
+        rows = self.postings().repartition(_part(F.col("term"), self.parts)).sortWithinPartitions("term", "key").mapInArrow(_repacked(to_arrow_schema(schema)), schema)
+        rows.withColumn("seq", F.lit(seq)).withColumn("part", _part(F.col("term"), self.parts)).sortWithinPartitions("part", "term").write.option("compression", "zstd").partitionBy("part").parquet(self._folder("postings", name))
         self._live(state).withColumn("seq", F.lit(seq)).write.option("compression", "zstd").parquet(self._folder("documents", name))
         self.spark.createDataFrame([], f"key {state['kind']}, seq int").write.parquet(self._folder("deleted", name))
         write_json(self.spark, f"{self.root}/manifests", seq, state | {"version": seq, "commits": [name]})
@@ -128,23 +204,24 @@ class InvertedIndex:
     def count(self) -> int:
         return self.state()["n"]
 
-    def postings(self, words: Sequence[str] | None = None) -> DataFrame:
-        """(term, key, tf, len, positions) of the words, or of all, in documents that are there."""
+    def postings(self, words: Sequence[str] | None = None, positions: bool = True) -> DataFrame:
+        """(term, key, tf, len[, positions]) of the words, or of all, in documents that are there."""
         state = self.state()
-        rows = self._read(state, "postings", "term string, key KEY, tf int, len int, positions array<int>, seq int, part int")
+        rows = self._read(state, "postings", f"{BLOCK}, seq int, part int")
         if words is not None:
             parts = sorted({_signed(xxhash.xxh64_intdigest(w.encode(), 42)) % self.parts for w in words}) or [-1]  # as Spark's function has it
             rows = rows.where(F.col("part").isin(parts) & F.col("term").isin(list(words)))
-        return self._hidden(rows, state).drop("seq", "part")
+        place = lambda x, i: F.struct(x.alias("key"), F.get("tfs", i).alias("tf"), F.get("lens", i).alias("len"), *([F.slice("positions", F.get("at", i) + 1, F.get("tfs", i)).alias("positions")] if positions else []))
+        return self._hidden(rows.select("term", "seq", F.inline(F.transform("keys", place))), state).select("term", "key", "tf", "len", *["positions"] * positions)
 
     def document_frequency(self) -> DataFrame:
         """(term, df, tf) of all terms."""
-        return self.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"))
+        return self.postings(positions=False).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"))
 
     def expand(self, term: str, edits: int | None = None) -> DataFrame:
         """(term, n): terms that begin with term, or are within `edits` of it, and the documents that hold them."""
         near = F.col("term").startswith(term) if edits is None else F.levenshtein("term", F.lit(term), edits).between(0, edits)
-        return self.postings().where(near).groupBy("term").agg(F.count("*").alias("n"))
+        return self.postings(positions=False).where(near).groupBy("term").agg(F.count("*").alias("n"))
 
     def _rewritten(self, node: Node) -> Node:
         """t* and t~N as the terms of the index that they stand for, joined by OR."""
@@ -162,7 +239,7 @@ class InvertedIndex:
         state = self.state()
         if not wanted or not state["commits"]:
             return self.spark.createDataFrame([], f"key {state['kind'] or 'long'}, score double")
-        rows = self.postings(words)
+        rows = self.postings(words, bool(_phrases(node)))
         stats = rows.where(F.col("term").isin(wanted)).groupBy("term").agg(F.count("*").alias("df")).collect()  # one row a term of the query
         df = {r.term: r.df for r in stats}
         pick = lambda c, w: F.max(F.when(F.col("term") == w, F.col(c)))

@@ -386,3 +386,26 @@ def test_parts_of_terms_are_those_of_the_write(spark, tmp_path):
     index = InvertedIndex(spark, f"file://{tmp_path}/i", parts=7)
     index.add(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "pk int, content string"), "content", "pk")
     assert {r.term for r in index.postings(words).collect()} == set(words) and index.postings(["é"]).count() == 1
+
+
+def test_postings_are_stored_as_blocks_of_bounded_tasks(spark, tmp_path, monkeypatch):
+    from kestrel.operators import inverted
+
+    rng = random.Random(4)
+    words = "the quick brown fox jumps over lazy dog slow turtle walks garden meadow".split()
+    rows = [(f"k{i}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for i in range(80)]
+    twice = [("k3", "fox"), ("k3", "turtle fox fox"), ("k5", "a")]
+    df = spark.createDataFrame([*rows, *twice], "pk string, content string").repartition(3)
+    kept = {}
+    for k, t in [*rows, *twice]:
+        kept[k] = max(t, kept.get(k, ""))  # the greatest text of a key
+    one = spark.createDataFrame(sorted(kept.items()), "pk string, content string")
+    monkeypatch.setattr(inverted, "TOKENS", 100, raising=False)
+    monkeypatch.setattr(inverted, "SIGNS", 500, raising=False)
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", parts=2)
+    index.add(df, "content", "pk")
+    assert 11 < spark.read.parquet(f"{tmp_path}/i/postings").count() < index.postings().count()
+    want = {(r.term, r.pk, r.tf, tuple(r.positions)) for r in text.postings(one, "content", "pk").collect()}
+    assert {(r.term, r.key, r.tf, tuple(r.positions)) for r in index.postings().collect()} == want
+    for q in ("fox", '"quick brown"', "fox NOT turtle"):
+        assert [(r.key, round(r.score, 9)) for r in index.search(q, 99).collect()] == [(r.pk, round(r.score, 9)) for r in text.bm25(one, "content", "pk", q, 99).collect()]
