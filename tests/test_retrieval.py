@@ -132,6 +132,24 @@ def test_an_index_is_built_from_tasks_without_rows(spark, tmp_path):
     assert index.near(asked, "q", "qv", 4, 3).count() == 12
 
 
+@pytest.mark.parametrize("name", ["recall_at_k"])
+def test_recall_over_splits_without_rows(spark, tmp_path, name):
+    import __spark_entry__
+
+    x = np.random.default_rng(6).normal(size=(300, 64))
+    spark.createDataFrame([(i, [float(a) for a in v], i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in old:
+            spark.conf.set(c, "8k")
+        got = __spark_entry__.queries()[name](spark, str(tmp_path)).collect()
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+    assert (len(got), got[0]["queries"] if name == "recall_summary" else 6) == (6 if name == "recall_at_k" else 1, 6)
+    assert got[0]["recall_avg"] >= 0.9 if name == "recall_summary" else np.mean([r["recall"] for r in got]) >= 0.9
+
+
 def test_quantization(spark):
     q = np.array([0.5, 0.3, 0.7])
     rows = [(i, [float(v) for v in q + i * 0.001 * np.array([2, 4, 8])]) for i in range(500)]
