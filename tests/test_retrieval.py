@@ -132,7 +132,7 @@ def test_an_index_is_built_from_tasks_without_rows(spark, tmp_path):
     assert index.near(asked, "q", "qv", 4, 3).count() == 12
 
 
-@pytest.mark.parametrize("name", ["recall_at_k"])
+@pytest.mark.parametrize("name", ["recall_at_k", "recall_summary"])
 def test_recall_over_splits_without_rows(spark, tmp_path, name):
     import __spark_entry__
 
