@@ -23,6 +23,8 @@ from kestrel.session import latest_json, write_json
 PARTS = 64
 #: Tokens whose postings are put together at once, and signs of text whose postings are sorted by one task.
 TOKENS, SIGNS = 2_000_000, 64_000_000
+#: Keys that are there more than once and go to every task, so that no other text is shuffled.
+FEW = 100_000
 #: A block of one term's postings; `at` says where each one's positions begin.
 BLOCK = "term string, keys array<KEY>, tfs array<int>, lens array<int>, at array<int>, positions array<int>"
 
@@ -38,7 +40,13 @@ def _block(term: np.ndarray, words: pa.Array, keys: pa.Array, tf: np.ndarray, si
 
 
 def _blocks(schema: pa.Schema, salts: int):
-    """A function of batches (key, tokens) that gives blocks with a number below `salts`, put together from at most TOKENS tokens or one text."""
+    """A function of batches (key, tokens) that gives blocks with a number below `salts`, put together from at most TOKENS tokens or one text.
+
+    A block without a term has the texts' lengths, so that texts are read and cut once.
+    """
+
+    def salted(block: pa.RecordBatch, salt: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*block.columns, pa.array(np.full(block.num_rows, salt % salts, np.int32))], schema.names).cast(schema)
 
     def run(batches):
         salt = TaskContext.get().partitionId()
@@ -56,16 +64,18 @@ def _blocks(schema: pa.Schema, salts: int):
                 spot = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 use = kept[code] if len(code) else np.zeros(0, bool)
                 code, doc, spot = code[use], doc[use], spot[use]
+                size, none = np.bincount(doc, minlength=len(sizes)), np.zeros(0, np.int32)
+                salt += 1
+                row = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, pa.array(none), pa.array(size.astype(np.int32)), pa.array(none), pa.array(none)))
+                yield salted(pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), *row], schema.names[:-1]), salt)
                 if not len(code):
                     continue
-                size = np.bincount(doc, minlength=len(sizes))
                 order = np.argsort(code, kind="stable")
                 code, doc, spot = code[order], doc[order], spot[order]
                 first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])
                 doc = doc[first]
                 made = _block(code[first], words, keys.take(pa.array(doc)), np.diff(np.r_[first, len(code)]), size[doc], spot, schema)
-                salt += 1
-                yield pa.RecordBatch.from_arrays([*made.columns, pa.array(np.full(made.num_rows, salt % salts, np.int32))], schema.names).cast(schema)
+                yield salted(made, salt)
 
     return run
 
@@ -87,6 +97,13 @@ def _part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
+def _unrepeated(docs: DataFrame, several: int) -> DataFrame:
+    """docs (key, text) with one text a key, the greatest; `several` keys are there more than once, and of up to FEW the texts alone are shuffled."""
+    twice = docs.groupBy("key").count().where("count > 1").select("key")
+    twice = F.broadcast(twice) if several <= FEW else twice
+    return docs.join(twice, "key", "left_anti").union(docs.join(twice, "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")))
+
+
 def _signed(number: int) -> int:
     return number - (1 << 64) if number >> 63 else number
 
@@ -103,6 +120,9 @@ def words_of(node: Node) -> list[str]:
 class InvertedIndex:
     """Postings (term, key, tf, len, positions, seq) in folders by a hash of the term, blocks of many in a row, sorted by term within a file.
 
+    Folder -1 of a commit has the lengths of its texts, from which its
+    documents are written.
+
     Each commit adds a folder of postings, a folder of its documents' lengths
     and one of deleted keys, and becomes visible when its manifest is renamed
     into place. A document that is added again or deleted counts from then on
@@ -130,8 +150,9 @@ class InvertedIndex:
     def commit(self, added: DataFrame | None, text: str, key: str, deleted: DataFrame | None = None) -> int:
         """Add documents and take away those with the keys of `deleted`, at once; the new version.
 
-        Texts aren't shuffled, those apart whose key is there twice (the
-        greatest stays). Their postings are, as blocks, to tasks whose number
+        Texts are read twice, for their keys and number of signs, and for
+        their words. They aren't shuffled, those apart whose key is there
+        twice (the greatest stays; beyond FEW such keys all texts are). Their postings are, as blocks, to tasks whose number
         grows with the texts, so that each sorts what its memory holds.
         """
         state, name = self.state(), f"c{uuid.uuid4().hex}"
@@ -141,18 +162,20 @@ class InvertedIndex:
         gone = []
         if added is not None:
             docs = added.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("key"), F.col(text).alias("text"))
-            twice = docs.groupBy("key").count().where("count > 1").select("key")
-            if not twice.isEmpty():
-                docs = docs.join(twice, "key", "left_anti").union(docs.join(twice, "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")))
-            signs = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
+            every = docs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("signs"))
+            signs, several = every.agg(F.coalesce(F.sum("signs"), F.lit(0)), F.count_if(F.col("n") > 1)).head()
+            if several:
+                docs = _unrepeated(docs, several)
             tasks = max(1, math.ceil(signs / SIGNS), min(self.spark.sparkContext.defaultParallelism, self.parts, math.ceil(signs / (SIGNS // 8))))
             salts = math.ceil(tasks / self.parts)
             tasks = self.parts * salts if salts > 1 else tasks
             schema = _parse_datatype_string(f"{BLOCK}, salt int".replace("KEY", kind))
-            made = docs.select("key", tokens(F.col("text")).alias("all")).mapInArrow(_blocks(to_arrow_schema(schema), salts), schema).withColumn("part", _part(F.col("term"), self.parts))
+            made = docs.select("key", tokens(F.col("text")).alias("all")).mapInArrow(_blocks(to_arrow_schema(schema), salts), schema)
+            made = made.withColumn("part", F.when(F.col("term").isNull(), -1).otherwise(_part(F.col("term"), self.parts)))
             made = made.repartitionById(tasks, F.pmod(F.col("part") * salts + F.col("salt"), F.lit(tasks)).cast("int")).drop("salt").withColumn("seq", F.lit(seq))
             made.sortWithinPartitions("part", "term").write.option("compression", "zstd").partitionBy("part").parquet(self._folder("postings", name))
-            docs.select("key", F.size(F.filter(tokens(F.col("text")), lambda x: ~x.isin(*STOP))).alias("len"), F.lit(seq).alias("seq")).write.option("compression", "zstd").parquet(self._folder("documents", name))
+            sizes = self._read({"commits": [name], "kind": kind}, "postings", f"{BLOCK}, seq int, part int").where("part = -1")
+            sizes.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("lens").alias("len"))), "seq").write.option("compression", "zstd").parquet(self._folder("documents", name))
             gone.append(added.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("key")))
         else:
             self.spark.createDataFrame([], f"{BLOCK}, seq int, part int".replace("KEY", kind)).write.partitionBy("part").parquet(self._folder("postings", name))
@@ -208,7 +231,9 @@ class InvertedIndex:
         """(term, key, tf, len[, positions]) of the words, or of all, in documents that are there."""
         state = self.state()
         rows = self._read(state, "postings", f"{BLOCK}, seq int, part int")
-        if words is not None:
+        if words is None:
+            rows = rows.where("part >= 0")
+        else:
             parts = sorted({_signed(xxhash.xxh64_intdigest(w.encode(), 42)) % self.parts for w in words}) or [-1]  # as Spark's function has it
             rows = rows.where(F.col("part").isin(parts) & F.col("term").isin(list(words)))
         place = lambda x, i: F.struct(x.alias("key"), F.get("tfs", i).alias("tf"), F.get("lens", i).alias("len"), *([F.slice("positions", F.get("at", i) + 1, F.get("tfs", i)).alias("positions")] if positions else []))

@@ -409,3 +409,34 @@ def test_postings_are_stored_as_blocks_of_bounded_tasks(spark, tmp_path, monkeyp
     assert {(r.term, r.key, r.tf, tuple(r.positions)) for r in index.postings().collect()} == want
     for q in ("fox", '"quick brown"', "fox NOT turtle"):
         assert [(r.key, round(r.score, 9)) for r in index.search(q, 99).collect()] == [(r.pk, round(r.score, 9)) for r in text.bm25(one, "content", "pk", q, 99).collect()]
+
+
+def test_a_load_reads_each_text_twice_and_keeps_the_lengths(spark, tmp_path):
+    texts = ["the fox", "", "the", "fox fox meadow", "a turtle walks", "..."] * 5
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(i):
+        seen.add(1)
+        return texts[i]
+
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", parts=3)
+    index.add(spark.range(len(texts)).select(F.col("id").alias("pk"), read.asNondeterministic()("id").alias("content")), "content", "pk")
+    assert seen.value <= 2 * len(texts)
+    assert sorted((r.key, r.len) for r in spark.read.parquet(f"{tmp_path}/i/documents").collect()) == [(i, len([w for w in t.strip(".").split() if w not in text.STOP])) for i, t in enumerate(texts)]
+    assert index.count() == len(texts) and {r.term for r in index.document_frequency().collect()} == {"fox", "meadow", "turtle", "walks"}
+
+
+def test_only_texts_of_repeated_keys_are_shuffled(spark):
+    from kestrel.operators import inverted
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "key int, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for several, joins in ((1, "BroadcastHashJoin"), (inverted.FEW + 1, "SortMergeJoin")):
+            got = inverted._unrepeated(docs, several)
+            assert got._jdf.queryExecution().executedPlan().toString().count(joins) == 2
+            assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
