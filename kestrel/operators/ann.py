@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -64,6 +64,11 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dimension)
 
 
+def _finite(vec: Column) -> Column:
+    """Whether a vector has numbers, and none of them is null, NaN or infinite."""
+    return (F.size(vec) > 0) & F.forall(vec, lambda x: F.coalesce(F.abs(x.cast("double")) < math.inf, F.lit(False)))
+
+
 def codes(x: np.ndarray) -> np.ndarray:
     """I8 codes, as functions.quantize.i8 makes them."""
     return np.clip(np.sign(x) * np.floor(np.abs(x) * 127 + 0.5), -127, 127)
@@ -126,15 +131,15 @@ def batch(df: DataFrame, vec: str, key: str, queries: DataFrame, query_id: str,
     Each task compares its vectors with all queries, a matrix product a block,
     and keeps one list of `limit` rows a query over all its batches, so that
     only those are shuffled. Queries are sent to every task, 4096 at a time.
-    Vectors that are null, have a null or NaN in them, or another length than
-    the query are left out.
+    Vectors that are null, empty, have a null or NaN in them, or another
+    length than the query are left out.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown metric {kind}")
     if limit < 1:
         raise ValueError("limit must be at least 1")
     rows = df.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).where("k is not null and v is not null")
-    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v")).where("q is not null and v is not null")
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v")).where("q is not null and size(v) > 0")
     kinds = StructType([StructField("q", queries.schema[query_id].dataType), StructField("k", df.schema[key].dataType), StructField("distance", DoubleType())])
     sizes = [r[0] for r in asked.select(F.size("v")).distinct().orderBy(F.size("v")).limit(64).collect()]
     if len(sizes) > 63:
@@ -219,17 +224,21 @@ def quantized(df: DataFrame, vec: str, key: Sequence[str], query: Sequence[float
 class InvertedFile:
     """Vectors in cells by their nearest centre, written partitioned by cell; a search reads the `probes` nearest cells only."""
 
-    def __init__(self, path: str, centres: np.ndarray, vec: str, key: str):
-        self.path, self.centres, self.vec, self.key = path, centres, vec, key
+    def __init__(self, path: str, centres: np.ndarray, vec: str, key: str, schema: StructType | None = None):
+        self.path, self.centres, self.vec, self.key, self.schema = path, centres, vec, key, schema
+
+    def rows(self, spark) -> DataFrame:
+        """Every row with its cell; the schema is given, as no file has it where no vector is indexed."""
+        return (spark.read.schema(self.schema) if self.schema else spark.read).parquet(self.path)
 
     @classmethod
     def build(cls, df: DataFrame, vec: str, key: str, path: str, cells: int = 16, seed: int = 1) -> InvertedFile:
         """Centres by k-means over all vectors, a Spark job a round, then one pass that writes all rows.
 
-        Vectors that are null, have a null or NaN in them, or another length
-        than most have aren't indexed.
+        Vectors that are null, empty, have a null, NaN or infinity in them, or
+        another length than most have aren't indexed.
         """
-        fine = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x.cast("double")))
+        fine = F.col(vec).isNotNull() & _finite(F.col(vec))
         size = df.where(fine).groupBy(F.size(vec).alias("size")).count().orderBy(F.col("count").desc(), "size").limit(1).collect()
         df = df.where(fine & (F.size(vec) == (size[0]["size"] if size else 0)))
         rows = df.select(F.col(vec).cast("array<double>").alias("v"))
@@ -258,12 +267,13 @@ class InvertedFile:
             a = np.stack(v.to_numpy()).astype(float)
             return pd.Series(((centres * centres).sum(1)[None] - 2 * a @ centres.T).argmin(1).astype(np.int32))
 
-        df.withColumn("cell", cell(F.col(vec))).write.mode("overwrite").partitionBy("cell").parquet(path)
-        return cls(path, centres, vec, key)
+        dealt = df.withColumn("cell", cell(F.col(vec)))
+        dealt.write.mode("overwrite").partitionBy("cell").parquet(path)
+        return cls(path, centres, vec, key, dealt.schema)
 
     def search_list(self, spark, query: Sequence[float], limit: int, listed: int = 64, kind: str = "EUCLIDEAN") -> DataFrame:
         """A search that looks at `listed` rows or `limit`, whichever is more, by reading nearest cells until they have so many; it takes no filter."""
-        sizes = {r["cell"]: r["count"] for r in spark.read.parquet(self.path).groupBy("cell").count().collect()}  # one row a cell
+        sizes = {r["cell"]: r["count"] for r in self.rows(spark).groupBy("cell").count().collect()}  # one row a cell
         near = exact(kind, np.asarray(query, np.float64)[None], self.centres).argsort(kind="stable")
         seen = np.cumsum([sizes.get(int(c), 0) for c in near])
         return self.search(spark, query, limit, 1 + int(np.searchsorted(seen, max(limit, listed))), kind)
@@ -271,7 +281,7 @@ class InvertedFile:
     def search(self, spark, query: Sequence[float], limit: int, probes: int = 4, kind: str = "EUCLIDEAN") -> DataFrame:
         q = np.asarray(query, np.float64)
         near = exact(kind, q[None], self.centres).argsort(kind="stable")[:probes]  # by the metric that is asked for
-        rows = spark.read.parquet(self.path).where(F.col("cell").isin([int(i) for i in near]))
+        rows = self.rows(spark).where(F.col("cell").isin([int(i) for i in near]))
         return search(rows, self.vec, [self.key], query, limit, kind)
 
     def near(self, queries: DataFrame, query_id: str, query_vec: str, limit: int, probes: int = 4) -> DataFrame:
@@ -286,7 +296,7 @@ class InvertedFile:
         inequality with the cell's radius.
         """
         spark, centres, key = queries.sparkSession, self.centres, self.key
-        rows = spark.read.parquet(self.path).select("cell", F.col(key).alias("k"), F.col(self.vec).cast("array<double>").alias("v")).where("k is not null")
+        rows = self.rows(spark).select("cell", F.col(key).alias("k"), F.col(self.vec).cast("array<double>").alias("v")).where("k is not null")
         gap = lambda x: np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * x @ centres.T), 0))
 
         def radii(frames):
@@ -297,7 +307,7 @@ class InvertedFile:
         radius = np.full(len(centres), -np.inf)
         for r in rows.mapInPandas(radii, "cell int, far double").groupBy("cell").agg(F.max("far")).collect():
             radius[r[0]] = r[1]
-        asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v")).where(F.size("v") == centres.shape[1]).where("q is not null").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+        asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v")).where(F.size("v") == centres.shape[1]).where("q is not null").where(_finite(F.col("v")))
 
         def nearest(q):
             """(distance to each centre, whether the cell is among the `probes` nearest)."""

@@ -150,6 +150,30 @@ def test_recall_over_splits_without_rows(spark, tmp_path, name):
     assert got[0]["recall_avg"] >= 0.9 if name == "recall_summary" else np.mean([r["recall"] for r in got]) >= 0.9
 
 
+def test_recall_over_odd_vectors(spark, tmp_path):
+    import __spark_entry__
+
+    x = np.random.default_rng(7).normal(size=(120, 8)).tolist()
+    odd = [(1000, []), (1050, []), (1001, [float("inf"), *x[0][1:]]), (1002, None), (1003, x[0][:3])]
+    for name, rows in (("odd", [*enumerate(x), *odd]), ("none", [])):
+        spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / name / "embeddings.parquet"))
+    run = lambda query, name: __spark_entry__.queries()[query](spark, str(tmp_path / name)).collect()
+    got = run("recall_at_k", "odd")
+    assert sorted(r["query_id"] for r in got) == [0, 50, 100] and np.mean([r["recall"] for r in got]) >= 0.9
+    assert run("recall_at_k", "none") == [] and run("ann_ivf", "none") == []
+
+
+def test_recall_after_the_index_is_gone(spark, tmp_path):
+    import __spark_entry__
+    from kestrel import queries
+    from kestrel.session import drop_path
+
+    x = np.random.default_rng(8).normal(size=(60, 8)).tolist()
+    spark.createDataFrame([(i, v, 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    drop_path(spark, queries._index(spark, str(tmp_path))[1].path)
+    assert __spark_entry__.queries()["recall_summary"](spark, str(tmp_path)).head()["queries"] == 2
+
+
 def test_quantization(spark):
     q = np.array([0.5, 0.3, 0.7])
     rows = [(i, [float(v) for v in q + i * 0.001 * np.array([2, 4, 8])]) for i in range(500)]
