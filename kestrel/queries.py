@@ -15,7 +15,7 @@ from kestrel.operators.filters import Restriction, where
 from kestrel.operators.inverted import InvertedIndex
 from kestrel.plans.catalog import Index
 from kestrel.plans.engine import Service
-from kestrel.session import scratch
+from kestrel.session import scratch, there
 from kestrel.sources import datasets
 from kestrel.streaming import merge
 
@@ -148,14 +148,14 @@ _add("f16_round_trip", lambda spark, sf: _t(spark, sf, "embeddings").select("vec
 _add("bf16_round_trip", lambda spark, sf: _t(spark, sf, "embeddings").select("vec_id", quantize.bf16(F.col("embedding")).alias("v")))
 
 
-_CELLS: dict[tuple[int, str], ann.InvertedFile] = {}
+_CELLS: dict[tuple[str, str], ann.InvertedFile] = {}
 _PLAIN = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 
 
 def _index(spark, sf):
-    """The inverted file over all rows, built once in a session for each folder, and as queries the rows whose id is divisible by 50."""
-    e, at = _t(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")), (id(spark.sparkContext), sf)
-    if at not in _CELLS:
+    """The inverted file over all rows, built once in a session for each folder and again where its files are gone, and as queries the rows whose id is divisible by 50."""
+    e, at = _t(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")), (spark.sparkContext.applicationId, sf)
+    if at not in _CELLS or not there(spark, _CELLS[at].path):
         _CELLS[at] = ann.InvertedFile.build(e, "v", "vec_id", scratch(spark, "ivf"), max(16, math.isqrt(e.count())))
     return e, _CELLS[at], e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
 

@@ -84,6 +84,11 @@ def _fs(spark: SparkSession, path: str):
     return made, made.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    made, fs = _fs(spark, path)
+    return fs.exists(made)
+
+
 def write_json(spark: SparkSession, folder: str, version: int, body: dict) -> None:
     """Commit body as a version: written beside and renamed into place; FileExistsError if another one was first."""
     _, fs = _fs(spark, folder)
