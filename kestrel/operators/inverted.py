@@ -39,14 +39,45 @@ def _block(term: np.ndarray, words: pa.Array, keys: pa.Array, tf: np.ndarray, si
     return pa.RecordBatch.from_arrays(columns, schema.names[: len(columns)])
 
 
-def _blocks(schema: pa.Schema, salts: int):
-    """A function of batches (key, tokens) that gives blocks with a number below `salts`, put together from at most TOKENS tokens or one text.
+def _packed(block: pa.RecordBatch) -> bytes:
+    """Blocks as one compressed message by columns, without `at`, which follows from tfs."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema.remove(block.schema.get_field_index("at")), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(block.drop_columns(["at"]))
+    return sink.getvalue().to_pybytes()
 
-    A block without a term has the texts' lengths, so that texts are read and cut once.
+
+def _unpacked(schema: pa.Schema):
+    """A function of batches (packed) that gives their blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for message in batch.column(0):
+                for block in pa.ipc.open_stream(message.as_buffer()):
+                    tfs = block.column("tfs")
+                    rows, begin = tfs.offsets.to_numpy(), np.r_[0, np.cumsum(tfs.values.to_numpy())]
+                    at = pa.array((begin[:-1] - np.repeat(begin[rows[:-1]], np.diff(rows))).astype(np.int32))
+                    columns = {n: block.column(n) for n in block.schema.names} | {"at": pa.ListArray.from_arrays(tfs.offsets, at)}
+                    yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], schema.names).cast(schema)
+
+    return run
+
+
+def _blocks(schema: pa.Schema, parts: int, salts: int, tasks: int):
+    """A function of batches (key, tokens) that gives (task, packed): blocks put together from at most TOKENS tokens or one text, for the task of their part.
+
+    A part has `salts` tasks, of which each time another one is meant. A block
+    without a term, of part -1, has the texts' lengths, so that texts are read
+    and cut once.
     """
 
-    def salted(block: pa.RecordBatch, salt: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*block.columns, pa.array(np.full(block.num_rows, salt % salts, np.int32))], schema.names).cast(schema)
+    def dealt(block: pa.RecordBatch, salt: int) -> pa.RecordBatch:
+        part = np.array([-1 if w is None else _part_of(w, parts) for w in block.column(0).to_pylist()], np.int32)
+        block = pa.RecordBatch.from_arrays([*block.columns, pa.array(part)], schema.names).cast(schema)
+        task = (part * salts + salt % salts) % tasks
+        every = np.unique(task)
+        messages = pa.array([_packed(block.take(pa.array(np.flatnonzero(task == t)))) for t in every], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), messages], ["task", "packed"])
 
     def run(batches):
         salt = TaskContext.get().partitionId()
@@ -67,7 +98,7 @@ def _blocks(schema: pa.Schema, salts: int):
                 size, none = np.bincount(doc, minlength=len(sizes)), np.zeros(0, np.int32)
                 salt += 1
                 row = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, pa.array(none), pa.array(size.astype(np.int32)), pa.array(none), pa.array(none)))
-                yield salted(pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), *row], schema.names[:-1]), salt)
+                yield dealt(pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), *row], schema.names[:-1]), salt)
                 if not len(code):
                     continue
                 order = np.argsort(code, kind="stable")
@@ -75,7 +106,7 @@ def _blocks(schema: pa.Schema, salts: int):
                 first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])
                 doc = doc[first]
                 made = _block(code[first], words, keys.take(pa.array(doc)), np.diff(np.r_[first, len(code)]), size[doc], spot, schema)
-                yield salted(made, salt)
+                yield dealt(made, salt)
 
     return run
 
@@ -93,6 +124,11 @@ def _repacked(schema: pa.Schema):
     return run
 
 
+def _part_of(term: str, parts: int) -> int:
+    """As _part has it."""
+    return _signed(xxhash.xxh64_intdigest(term.encode(), 42)) % parts
+
+
 def _part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
@@ -152,7 +188,7 @@ class InvertedIndex:
 
         Texts are read twice, for their keys and number of signs, and for
         their words. They aren't shuffled, those apart whose key is there
-        twice (the greatest stays; beyond FEW such keys all texts are). Their postings are, as blocks, to tasks whose number
+        twice (the greatest stays; beyond FEW such keys all texts are). Their postings are, as packed blocks, to tasks whose number
         grows with the texts, so that each sorts what its memory holds.
         """
         state, name = self.state(), f"c{uuid.uuid4().hex}"
@@ -169,10 +205,9 @@ class InvertedIndex:
             tasks = max(1, math.ceil(signs / SIGNS), min(self.spark.sparkContext.defaultParallelism, self.parts, math.ceil(signs / (SIGNS // 8))))
             salts = math.ceil(tasks / self.parts)
             tasks = self.parts * salts if salts > 1 else tasks
-            schema = _parse_datatype_string(f"{BLOCK}, salt int".replace("KEY", kind))
-            made = docs.select("key", tokens(F.col("text")).alias("all")).mapInArrow(_blocks(to_arrow_schema(schema), salts), schema)
-            made = made.withColumn("part", F.when(F.col("term").isNull(), -1).otherwise(_part(F.col("term"), self.parts)))
-            made = made.repartitionById(tasks, F.pmod(F.col("part") * salts + F.col("salt"), F.lit(tasks)).cast("int")).drop("salt").withColumn("seq", F.lit(seq))
+            schema = _parse_datatype_string(f"{BLOCK}, part int".replace("KEY", kind))
+            made = docs.select("key", tokens(F.col("text")).alias("all")).mapInArrow(_blocks(to_arrow_schema(schema), self.parts, salts, tasks), "task int, packed binary")
+            made = made.repartitionById(tasks, F.col("task")).select("packed").mapInArrow(_unpacked(to_arrow_schema(schema)), schema).withColumn("seq", F.lit(seq))
             made.sortWithinPartitions("part", "term").write.option("compression", "zstd").partitionBy("part").parquet(self._folder("postings", name))
             sizes = self._read({"commits": [name], "kind": kind}, "postings", f"{BLOCK}, seq int, part int").where("part = -1")
             sizes.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("lens").alias("len"))), "seq").write.option("compression", "zstd").parquet(self._folder("documents", name))
@@ -234,7 +269,7 @@ class InvertedIndex:
         if words is None:
             rows = rows.where("part >= 0")
         else:
-            parts = sorted({_signed(xxhash.xxh64_intdigest(w.encode(), 42)) % self.parts for w in words}) or [-1]  # as Spark's function has it
+            parts = sorted({_part_of(w, self.parts) for w in words}) or [-1]
             rows = rows.where(F.col("part").isin(parts) & F.col("term").isin(list(words)))
         place = lambda x, i: F.struct(x.alias("key"), F.get("tfs", i).alias("tf"), F.get("lens", i).alias("len"), *([F.slice("positions", F.get("at", i) + 1, F.get("tfs", i)).alias("positions")] if positions else []))
         return self._hidden(rows.select("term", "seq", F.inline(F.transform("keys", place))), state).select("term", "key", "tf", "len", *["positions"] * positions)

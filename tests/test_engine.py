@@ -427,6 +427,24 @@ def test_a_load_reads_each_text_twice_and_keeps_the_lengths(spark, tmp_path):
     assert index.count() == len(texts) and {r.term for r in index.document_frequency().collect()} == {"fox", "meadow", "turtle", "walks"}
 
 
+def test_postings_move_packed(spark):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    from kestrel.operators import inverted
+
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, [rng.choice("abcdefgh") + str(rng.randrange(20)) for _ in range(200)]) for i in range(300)], "key long, all array<string>").coalesce(1)
+    schema = _parse_datatype_string(f"{inverted.BLOCK}, part int".replace("KEY", "long"))
+    packed = docs.mapInArrow(inverted._blocks(to_arrow_schema(schema), 64, 1, 8), "task int, packed binary").cache()
+    rows = packed.mapInArrow(lambda batches: (b.select(["packed"]) for b in batches), "packed binary").mapInArrow(inverted._unpacked(to_arrow_schema(schema)), schema).collect()
+    numbers = sum(2 * len(r["keys"]) + len(r["tfs"]) + len(r["lens"]) + len(r["at"]) + len(r["positions"]) for r in rows)
+    assert packed.agg(F.sum(F.length("packed"))).head()[0] < 4 * numbers / 2  # half of what they are as numbers
+    assert sum(len(r["positions"]) for r in rows) == 300 * 200 and {r["part"] == -1 for r in rows if r["term"] is None} == {True}
+    assert all(r["at"] == [sum(r["tfs"][:i]) for i in range(len(r["tfs"]))] for r in rows)
+    packed.unpersist()
+
+
 def test_only_texts_of_repeated_keys_are_shuffled(spark):
     from kestrel.operators import inverted
 
