@@ -171,13 +171,13 @@ _add("partition_sizes", lambda spark, sf: _t(spark, sf, "embeddings").groupBy("l
 
 # Text
 
-_BUILT: dict[tuple[int, str], InvertedIndex] = {}
+_BUILT: dict[tuple[str, str], InvertedIndex] = {}
 
 
 def fts(spark, sf):
-    """The stored index of documents, built once in a session for each folder."""
-    at = (id(spark.sparkContext), sf)
-    if at not in _BUILT:
+    """The stored index of documents, built once in a session for each folder and again where its files are gone."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _BUILT or not there(spark, _BUILT[at].root):
         _BUILT[at] = InvertedIndex(spark, scratch(spark, "fts"))
         _BUILT[at].add(_t(spark, sf, "documents"), "text", "doc_id")
     return _BUILT[at]

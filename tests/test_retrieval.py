@@ -174,6 +174,16 @@ def test_recall_after_the_index_is_gone(spark, tmp_path):
     assert __spark_entry__.queries()["recall_summary"](spark, str(tmp_path)).head()["queries"] == 2
 
 
+def test_a_text_search_after_the_index_is_gone(spark, tmp_path):
+    import __spark_entry__
+    from kestrel import queries
+    from kestrel.session import drop_path
+
+    spark.createDataFrame([(1, "que es"), (2, "die hand"), (3, "nada")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    drop_path(spark, queries.fts(spark, str(tmp_path)).root)
+    assert sorted(r["doc_id"] for r in __spark_entry__.queries()["bm25_or"](spark, str(tmp_path)).collect()) == [1, 2]
+
+
 def test_quantization(spark):
     q = np.array([0.5, 0.3, 0.7])
     rows = [(i, [float(v) for v in q + i * 0.001 * np.array([2, 4, 8])]) for i in range(500)]
